@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismcat.llm import bpe, mixing, quality, token_files, toxicity, url_filter
+from prismcat.llm import bpe, html_text, mixing, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op8_quality": quality.op8,
     "op9_url_filter": url_filter.op9,
+    "op10_html_text": html_text.op10,
 }
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
