@@ -31,14 +31,11 @@ from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
 from prismcat.llm.common import read
-from prismcat.llm.pieces import LONGEST, PieceCache
+from prismcat.llm.pieces import LONGEST, PieceCache, slices
 
 NONE = 1 << 30
 #: Words in the byte alphabet whose ids a worker keeps, besides the tables of its PieceCache.
 WORDS_KEPT = 100_000
-#: Texts of a batch are read in slices of so many rows.
-ROWS = 256
-
 
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a printable character: itself where printable, else the next of U+0100 on."""
@@ -115,7 +112,7 @@ class Bpe:
         self.words: dict[str, list[int]] = {}
         if any(re.search(r"\s", t) for t in self.added):
             raise ValueError("special tokens with white space are not supported")
-        self.pieces = PieceCache(lambda words: [self.encode(w) for w in words])
+        self.pieces = PieceCache(lambda words: [np.asarray(self.encode(w), "<u4").tobytes() for w in words])
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the lowest-ranked merge, leftmost first, until no adjacent pair is mergeable."""
@@ -216,9 +213,9 @@ def bpe_round_trip(docs: DataFrame, path: str, *, digests_only: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = [np.frombuffer(x, "<u4").tolist() for x in bpe.pieces.encode_batch(batch.column("text").to_pylist())]
+            for batch in slices(whole, "text"):
+                flat, at = bpe.pieces.encode(batch.column("text"))
+                ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
                 columns = [batch.column(n) for n in names] + [pa.array([len(x) for x in ids], pa.int64())]
                 decoded = [bpe.decode(x) for x in ids]
                 if digests_only:

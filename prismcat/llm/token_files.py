@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from prismcat.llm.common import delete_path, fresh_path, read
-from prismcat.llm.pieces import PieceCache
+from prismcat.llm.pieces import PieceCache, slices
 
 MAGIC, BLOCK, LEVEL = b"PCT1", 8192, 3
 #: A chunk is closed when it has so many ids (one very long document can make it longer).
@@ -40,7 +40,6 @@ CHUNK_IDS = 1 << 18
 END_ID = 2
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 25
-ROWS = 256
 
 
 def bit_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -131,21 +130,47 @@ def piece_cache(path: str) -> PieceCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    return PieceCache(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    if suffix:
+        last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def each(words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(words: list[str]) -> list[bytes]:
+        """Words of letters go to the library many at a time: word-end tokens tell their ids apart."""
+        if not suffix:
+            return each(words)
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        found = dict(zip(others, each(others), strict=True))
+        for k in range(0, len(letters), 500):
+            some = letters[k : k + 500]
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(some):  # each word has one end at least, so exactly one
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                found.update((w, data[a:b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+            else:
+                found.update(zip(some, each(some), strict=True))
+        return [found[w] for w in words]
+
+    return PieceCache(encode)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens and ids (zstandard over little-endian uint32, with the end id) of each document, unshuffled."""
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packer = piece_cache(path), zstandard.ZstdCompressor(level=1)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = [x + end for x in cache.encode_batch(batch.column(1).to_pylist())]
-                packed = [packer.compress(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for batch in slices(whole, "text"):
+                ids, at = cache.encode(batch.column(1))
+                ids = np.insert(ids, at[1:], end_id).astype("<u4")  # behind each document
+                at = at + np.arange(len(at))
+                packed = [packer.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
