@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prismcat.llm import bpe, html_text, mixing, quality, token_files, toxicity, url_filter
+from prismcat.llm import bpe, fingerprints, html_text, mixing, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2,
     "op3_bpe_segment_tree": bpe.op3,
     "op4_mix_sources": mixing.op4,
     "op6_toxicity": toxicity.op6,
+    "op7_fingerprints": fingerprints.op7,
     "op8_quality": quality.op8,
     "op9_url_filter": url_filter.op9,
     "op10_html_text": html_text.op10,
