@@ -22,7 +22,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from prismcat.llm.common import read
+from prismcat.llm.common import read, worker_cache
 from prismcat.llm.pieces import LONGEST, PieceCache, slices
 
 NONE = 1 << 30
-#: Words in the byte alphabet whose ids a worker keeps, besides the tables of its PieceCache.
-WORDS_KEPT = 100_000
+#: Words in the byte alphabet whose ids a worker keeps, and entries of its PieceCache.
+WORDS_KEPT, TABLE = 50_000, 300_000
 
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a printable character: itself where printable, else the next of U+0100 on."""
@@ -112,7 +111,7 @@ class Bpe:
         self.words: dict[str, list[int]] = {}
         if any(re.search(r"\s", t) for t in self.added):
             raise ValueError("special tokens with white space are not supported")
-        self.pieces = PieceCache(lambda words: [np.asarray(self.encode(w), "<u4").tobytes() for w in words])
+        self.pieces = PieceCache(lambda words: [np.asarray(self.encode(w), "<u4").tobytes() for w in words], TABLE)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the lowest-ranked merge, leftmost first, until no adjacent pair is mergeable."""
@@ -189,10 +188,12 @@ class Bpe:
         return " ".join([t for t in map(get, ids) if t is not None])
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> Bpe:
     """One per worker and file."""
-    return Bpe(path)
+    kept = worker_cache("bpe")
+    if path not in kept:
+        kept[path] = Bpe(path)
+    return kept[path]
 
 
 def _columns(batch: pa.RecordBatch, own: tuple[str, ...]) -> dict[str, pa.Array]:

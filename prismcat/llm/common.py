@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the contracts that count words: space and the code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_caches: dict = {"owner": None, "items": {}}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task, of one operator at a time: workers outlive stages, and the tables
+    of an operator that has ended must not stay beside those of the next."""
+    if _caches["owner"] != owner:
+        _caches["items"].clear()
+        _caches["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _caches["items"]
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -36,12 +36,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prismcat.llm.common import read, written
+from prismcat.llm.common import read, worker_cache, written
 from prismcat.llm.components import connected_components, union_find
 from prismcat.llm.pieces import slices
 
 #: Texts are shingled in slices of about so many bytes.
-SLICE = 12_000_000
+SLICE = 6_000_000
 #: A block of step 1 is meant to hold so many n-grams.
 BLOCK = 6_000_000
 #: A task of step 4 holds at most about so many n-grams.
@@ -118,6 +118,7 @@ def _deal(words: int, blocks: int):
     """Step 1, by slice of texts: a row for its documents and a row of n-grams for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("n-grams")
         packer = zstandard.ZstdCompressor(level=1)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
@@ -340,7 +341,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = 0 if size > 1 << 50 else size  # no estimate
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, size // (4 * block)))
+    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, size // (4 * block)))
     info = written(
         spark,
         texts.mapInArrow(_deal(words, blocks), _ROWS)

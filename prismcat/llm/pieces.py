@@ -52,8 +52,8 @@ def _lists(lists: pa.ListArray) -> np.ndarray:
 class PieceCache:
     """encode_words: ids (little-endian uint32) of each of some strings, as the tokenizer gives them for each alone."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]]):
-        self.encode_words = encode_words
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], limit: int = WORDS):
+        self.encode_words, self.limit = encode_words, limit
         self.words: dict[str, bytes] = {"": b""}
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
@@ -61,7 +61,7 @@ class PieceCache:
         table = self.words
         new = [w for w in words if w not in table]
         if new:
-            if len(table) + len(new) > WORDS:
+            if len(table) + len(new) > self.limit:
                 self.words = table = {"": b""}
                 new = [w for w in words if w]
             table.update((w, ids) for w, ids in zip(new, self.encode_words(new), strict=True))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismcat.llm.common import fold_of, labelled_sample, read
+from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
 
 #: Bounds of the model: labelled documents, terms, latent axes.
 SAMPLE, TERMS, AXES = 3000, 6000, 64
@@ -30,8 +30,6 @@ NEIGHBOURS, POWER = 25, 4
 THRESHOLD = 0.3
 ROWS = 256
 
-_shapes: dict[str, str] = {}
-
 
 def shape(word: str) -> str:
     """Kinds of characters in a word, runs as one: lower a, upper A, digit 0, anything else as it is."""
@@ -46,6 +44,7 @@ def shape(word: str) -> str:
 
 def terms_of(text: str | None) -> Counter:
     """Terms and their weights before TF-IDF: words, shapes, and marks of length and repetition."""
+    shapes = worker_cache("quality")
     run = (text or "").split()
     n = len(run)
     if not n:
@@ -53,13 +52,13 @@ def terms_of(text: str | None) -> Counter:
     words = Counter(run)
     terms: Counter = Counter()
     for word, count in words.items():
-        found = _shapes.get(word)
+        found = shapes.get(word)
         if found is None:
             found = shape(word)
-            if len(_shapes) > 200_000:
-                _shapes.clear()
+            if len(shapes) > 100_000:
+                shapes.clear()
             if len(word) <= 40:
-                _shapes[word] = found
+                shapes[word] = found
         terms["s " + found] += count
         if len(word) <= 40:
             terms["w " + word.lower()] += count

@@ -21,7 +21,6 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from prismcat.llm.common import delete_path, fresh_path, read
+from prismcat.llm.common import delete_path, fresh_path, read, worker_cache
 from prismcat.llm.pieces import PieceCache, slices
 
 MAGIC, BLOCK, LEVEL = b"PCT1", 8192, 3
@@ -123,9 +122,16 @@ class Chunk:
         return np.split(self.span(0, self.n_ids), self.starts[1:-1]) if self.n_docs else []
 
 
-@lru_cache(maxsize=2)
 def piece_cache(path: str) -> PieceCache:
-    """One per worker and tokenizer file; the library encodes, each new piece once."""
+    """One per worker and tokenizer file."""
+    kept = worker_cache("token files")
+    if path not in kept:
+        kept[path] = _library_cache(path)
+    return kept[path]
+
+
+def _library_cache(path: str) -> PieceCache:
+    """The library encodes, each new word once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismcat.llm.common import fold_of, labelled_sample, read
+from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
 
 #: Bounds of the model: labelled documents and words.
 SAMPLE, TERMS = 4000, 1000
@@ -155,7 +155,7 @@ class ToxicityModel:
             hits = cache.get(piece)
             if hits is None:
                 hits = tuple(i for w in terms_of(piece) if (i := self.terms.get(w)) is not None)
-                if len(cache) > 300_000:
+                if len(cache) > 100_000:
                     cache.clear()
                 if len(piece) <= 40:
                     cache[piece] = hits
@@ -176,7 +176,7 @@ class ToxicityModel:
             score = self.calibrated(vote) if len(ids) else float(self.base)
             first = sorted(zip((-sims).tolist(), ids.tolist(), strict=True))[:3]
             words = [self.words[t] for t in sorted(vector, key=lambda t: (-vector[t], t))[:5]]
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 20_000:
                 self.memo.clear()
             self.memo[key] = score, [{"similarity": -s, "label": int(self.labels[i]), "words": words} for s, i in first]
         return self.memo[key]
@@ -207,6 +207,7 @@ def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame,
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
