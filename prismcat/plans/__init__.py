@@ -1 +1 @@
-
+"""Whole queries: the batch preparation and the query catalogue."""

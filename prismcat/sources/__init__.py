@@ -1 +1 @@
-
+"""Scans, sinks, configuration and table definitions."""
