@@ -12,7 +12,7 @@ chunk, in ascending doc_id order over shards and chunks; doc_ids says which docu
 make a data set survive lost executors, and any store that Spark reaches will hold it.
 
 Defined results: a null or empty text has only the end id; equal doc_ids stand next to each other, ordered by their
-ids' bytes, and null doc_ids come first; an empty table gives an empty data set; further columns do not matter, only
+ids' checksum and bytes, and null doc_ids come first; an empty table gives an empty data set; further columns do not matter, only
 doc_id and text are read.
 """
 
@@ -20,16 +20,16 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from prismcat.llm.common import delete_path, fresh_path, read, worker_cache
+from prismcat.llm.common import fresh_path, read, worker_cache
 from prismcat.llm.pieces import PieceCache, slices
 
 MAGIC, BLOCK, LEVEL = b"PCT1", 8192, 3
@@ -37,8 +37,10 @@ MAGIC, BLOCK, LEVEL = b"PCT1", 8192, 3
 CHUNK_IDS = 1 << 18
 #: The id that ends each document.
 END_ID = 2
-#: Ids of a shard, about.
-SHARD_IDS = 1 << 25
+#: Bytes of input for each shard, about; below as many shards as there are shuffle partitions, so many at least.
+SHARD_BYTES, SMALL_SHARD = 1 << 26, 1 << 20
+#: Stands for a null id among the bounds.
+NULL_ID = -(1 << 63)
 
 
 def bit_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -166,8 +168,24 @@ def _library_cache(path: str) -> PieceCache:
     return PieceCache(encode)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens and ids (zstandard over little-endian uint32, with the end id) of each document, unshuffled."""
+def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """shards - 1 quantiles of doc_id, from a scan of that column alone; null ids are the least."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    found = docs.agg(F.percentile_approx(least, [k / shards for k in range(1, shards)], 10_000).alias("q")).first()["q"]
+    return np.asarray(found or [], np.int64)
+
+
+def shard_of(ids: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Shards in ascending order of (id, tie). An id that several bounds name is spread over their shards by its ties."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return (low + (ties * (high - low + 1)).astype(np.int64)).astype(np.int32)
+
+
+def tokenize(docs: DataFrame, path: str, bounds: np.ndarray, end_id: int = END_ID) -> DataFrame:
+    """shard, doc_id, tie and ids (zstandard over little-endian uint32, with the end id) of each document, unshuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packer = piece_cache(path), zstandard.ZstdCompressor(level=1)
         for whole in batches:
@@ -175,28 +193,31 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 ids, at = cache.encode(batch.column(1))
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")  # behind each document
                 at = at + np.arange(len(at))
-                packed = [packer.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                data = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                ties = np.fromiter((zlib.crc32(x) for x in data), np.float64, len(data)) / 2**32
+                names = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard_of(names, ties, bounds)), batch.column(0), pa.array(ties), pa.array([packer.compress(x) for x in data], pa.binary())],
+                    names=["shard", "doc_id", "tie", "ids"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, tie double, ids binary")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, kind: int = 1, block: int = BLOCK, chunk_ids: int = CHUNK_IDS, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, kind: int = 1, block: int = BLOCK, chunk_ids: int = CHUNK_IDS, end_id: int = END_ID, shards: int | None = None) -> None:
     """Encodes docs and writes the data set at path.
 
-    Texts are encoded where they are read; only ids, compressed, are written once and then dealt out by range of
-    doc_id (with a hash for ties, so that no repeated id holds up a task) and sorted within each range.
+    Texts are encoded where they are read; only ids, compressed, move, once, to shards that are ranges of doc_id (and of
+    a hash, so that no repeated id holds up a task), and are sorted within each.
     """
     spark = docs.sparkSession
-    tokens = f"{path}/tokens"
-    tokenize(docs, tokenizer, end_id).write.parquet(tokens)
-    table = spark.read.schema("doc_id long, n_tokens long, ids binary").parquet(tokens)
-    total = table.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_IDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * chunk_ids))))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or (most if size > 1 << 50 else max(1, size // SHARD_BYTES, min(most, size // SMALL_SHARD)))
+    order = [F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("ids")]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, size = TaskContext.get().partitionId(), 0, 0
+        number, size, shard = 0, 0, None
         ids: list[bytes] = []
         names: list[int | None] = []
         unpacker = zstandard.ZstdDecompressor()
@@ -206,7 +227,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, kind: int =
             return pa.RecordBatch.from_pydict({"shard": [shard], "chunk": [number], "doc_ids": [names], "n_ids": [size], "data": [data]}, schema=pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for into, doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if into != shard:
+                    if names:
+                        yield close()
+                    number, size, ids, names, shard = 0, 0, [], [], into
                 ids.append(unpacker.decompress(packed))
                 names.append(doc)
                 size += len(ids[-1]) // 4
@@ -217,12 +242,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, kind: int =
             yield close()
 
     (
-        table.repartitionByRange(shards, *order[:2])
+        tokenize(docs, tokenizer, shard_bounds(docs, shards), end_id)
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions(*order)
         .mapInArrow(chunks, "shard int, chunk int, doc_ids array<bigint>, n_ids bigint, data binary")
         .write.parquet(f"{path}/chunks")
     )
-    delete_path(spark, tokens)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

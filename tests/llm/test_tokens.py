@@ -117,11 +117,20 @@ def test_token_files_equal_the_library(spark, data, library):
     assert sorted(tuple(r) for r in K.op2(spark, data("sf0.001")).collect()) == expected
 
 
+def test_shards_keep_the_order_and_spread_ties():
+    rng = np.random.default_rng(13)
+    ids = np.sort(np.where(rng.random(5000) < 0.4, 77, rng.integers(0, 1000, 5000)))
+    ties = rng.random(5000)
+    order = np.lexsort((ties, ids))
+    shard = K.shard_of(ids[order], ties[order], np.quantile(ids, np.arange(1, 16) / 16, method="nearest").astype(np.int64))
+    assert (np.diff(shard) >= 0).all() and np.bincount(shard).max() < 900
+
+
 def test_token_files_odd_rows(spark, tmp_path, library):
     rows = [(5, "b b", 1), (None, "n", 1), (5, "a", 2), (5, "a", 2), (1, None, 3), (2, "", 4), (9, "w " * 3000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(3)
     path = f"file://{tmp_path}/set"
-    K.write_token_files(df, path, B.default_path(), chunk_ids=10, block=4)
+    K.write_token_files(df, path, B.default_path(), chunk_ids=10, block=4, shards=3)
     got = K.read_token_files(spark, path).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 2, 5, 5, 5, 9]
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
