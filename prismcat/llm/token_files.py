@@ -47,7 +47,8 @@ def bit_planes(ids: np.ndarray, kind: int) -> list[bytes]:
     """Planes of a block from the lowest to the highest that holds anything."""
     top = int(ids.max()).bit_length() if len(ids) else 0
     if kind == 1:
-        bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :top]
+        narrow = ids.astype("<u2") if top <= 16 else ids.astype("<u4")
+        bits = np.unpackbits(narrow.view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")[:, :top]
         packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
         return [row.tobytes() for row in packed]
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -57,10 +58,11 @@ def bit_planes(ids: np.ndarray, kind: int) -> list[bytes]:
 def from_planes(planes: list[bytes], n: int, kind: int) -> np.ndarray:
     """The block of n ids that has these planes."""
     if kind == 1:
-        bits = np.zeros((32, n), np.uint8)
+        width = 16 if len(planes) <= 16 else 32
+        bits = np.zeros((width, n), np.uint8)
         for k, plane in enumerate(planes):
             bits[k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-        return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").reshape(-1)
+        return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(f"<u{width // 8}").reshape(-1).astype("<u4")
     raw = np.zeros((n, 4), np.uint8)
     for k, plane in enumerate(planes):
         raw[:, k] = np.frombuffer(plane, np.uint8)
