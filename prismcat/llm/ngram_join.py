@@ -41,7 +41,7 @@ from prismcat.llm.components import connected_components, union_find
 from prismcat.llm.pieces import slices
 
 #: Texts are shingled in slices of about so many bytes.
-SLICE = 6_000_000
+SLICE = 3_000_000
 #: A block of step 1 is meant to hold so many n-grams.
 BLOCK = 6_000_000
 #: A task of step 4 holds at most about so many n-grams.
