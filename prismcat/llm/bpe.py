@@ -34,7 +34,7 @@ from prismcat.llm.pieces import LONGEST, PieceCache, slices
 
 NONE = 1 << 30
 #: Words in the byte alphabet whose ids a worker keeps, and entries of its PieceCache.
-WORDS_KEPT, TABLE = 50_000, 300_000
+WORDS_KEPT, TABLE = 100_000, 600_000
 
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a printable character: itself where printable, else the next of U+0100 on."""
