@@ -26,7 +26,7 @@ from prismcat.llm.components import connected_components, union_find
 
 SIMILARITY = 0.98
 #: The centres are fitted on at most so many vectors; at most so many centres; a cell is meant to have so many rows.
-SAMPLE, CENTRES, CELL = 20_000, 256, 2_000
+SAMPLE, CENTRES, CELL = 20_000, 1_024, 2_000
 #: A task compares at most two chunks of about so many rows.
 CHUNK = 2_000
 ROUNDS = 8

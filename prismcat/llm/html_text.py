@@ -40,6 +40,7 @@ BOILER_WORDS = frozenset(
     "notices notification alert popup modal overlay related recommended recommendations widget widgets pagination pager paging copyright legal disclaimer search tags tagcloud skip".split()
 )
 CONTENT_WORDS = frozenset("article content main post story entry body text page prose maincontent articlebody".split())
+ARTICLE_WORDS = frozenset("article post story entry".split())
 #: Costs in thousandths; SURE is above the sum of a block's smoothness edges.
 SURE, SMOOTH_SAME, SMOOTH_NEAR, SMOOTH_FAR = 1_000_000, 900, 500, 150
 
@@ -83,8 +84,11 @@ def _state(name: str, attributes: str, parent: int, in_content: bool) -> int:
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return BOILER
             if key in ("class", "id"):
-                words = [w.lower() for w in _WORDS.findall(value)]
-                if any(w in BOILER_WORDS for w in words) and not (name in ("article", "main") and any(w in CONTENT_WORDS for w in words)):
+                words = {w.lower() for w in _WORDS.findall(value)}
+                against = words & BOILER_WORDS
+                if against == {"header"} and (in_content or words & ARTICLE_WORDS):
+                    against = set()  # an article's own heading
+                if against and not (name in ("article", "main") and words & CONTENT_WORDS):
                     return BOILER
                 if any(w in CONTENT_WORDS for w in words) and state == NEUTRAL:
                     state = CONTENT
@@ -140,13 +144,13 @@ def blocks_of(page: str) -> list[Block]:
                 else:
                     stack.append((name, number := number + 1, BOILER))
                 continue
+            if stack and stack[-1][0] == "head":
+                stack.pop()  # an element of the body ends the head
             if name not in INLINE:
                 block = None
                 closes = CLOSES.get(name, frozenset())
                 if name in _CLOSES_P:
                     closes = {*closes, "p"}
-                if name == "body":
-                    closes = {"head"}
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in closes:
                         links -= sum(e[0] == "a" for e in stack[k:])
@@ -155,7 +159,7 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         stack += kept
                         break
-                    if stack[k][0] in _SCOPE and stack[k][0] != "head":
+                    if stack[k][0] in _SCOPE:
                         break
             parent = stack[-1][2] if stack else NEUTRAL
             state = _state(name, attributes, parent, any(e[0] in ("article", "main") for e in stack))

@@ -6,7 +6,7 @@ document is taken floor(rate) times plus once more with the fraction as probabil
 Defined results: a null or empty text has size 0; a null source is a source of its own, ordered last; a source of
 size 0 has target 0 and rate 0, and its documents (all of size 0) are taken 0 times; repeated rows are decided alike, since the
 hash sees the id (or, for a null id, the text); an empty table gives an empty plan; further columns pass through.
-The names in RESERVED are the operator's own: columns so called are replaced.
+The names in RESERVED are the operator's own: columns so called are replaced; _source and _copy are left out.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def mixing_plan(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epoc
 
     Documents are not shuffled where the sources are few: their rates are broadcast after their number is checked.
     """
-    docs = docs.drop(*RESERVED)
+    docs = docs.drop(*RESERVED, "_source", "_copy")
     sized = docs.withColumn("size", word_count(F.col("text")))
     targets = source_targets(sized.select("source", "size"), weights, max_epochs).withColumnRenamed("source", "_source")
     few = docs.select("source").distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
@@ -86,7 +86,7 @@ def mixing_plan(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epoc
 def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The mixture itself: each document as often as the plan takes it, with the columns of docs."""
     plan = mixing_plan(docs, weights=weights, max_epochs=max_epochs, seed=seed).where(F.col("copies") > 0)
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESERVED])
+    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*RESERVED, "_source", "_copy")])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ from prismcat.llm.pieces import slices
 SLICE = 3_000_000
 #: A block of step 1 is meant to hold so many n-grams.
 BLOCK = 6_000_000
+#: More blocks than this there are not; beyond, they grow.
+BLOCKS = 100_000
 #: A task of step 4 holds at most about so many n-grams.
 TASK = 4_000_000
 #: Documents of an oversized group that every chunk is compared with first.
@@ -341,7 +343,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = 0 if size > 1 << 50 else size  # no estimate
-    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, size // (4 * block)))
+    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BLOCKS, size // (4 * block)))
     info = written(
         spark,
         texts.mapInArrow(_deal(words, blocks), _ROWS)

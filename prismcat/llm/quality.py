@@ -8,7 +8,7 @@ neighbours as near as the k-th vote, so ties cannot depend on an order.
 
 Defined results: a null, empty or blank text, and one whose terms are all unknown, has a zero vector and gets the prior
 (the share of label 1 in the sample; 0.5 without any labels); repeated rows get the same score; an empty table gives an
-empty result; further columns pass through, those named score or predicted are replaced.
+empty result; further columns pass through, those named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ CHUNK_IDS = 1 << 18
 #: The id that ends each document.
 END_ID = 2
 #: Bytes of input for each shard, about; below as many shards as there are shuffle partitions, so many at least.
-SHARD_BYTES, SMALL_SHARD = 1 << 26, 1 << 20
+SHARD_BYTES, SMALL_SHARD = 1 << 28, 1 << 20
 #: Stands for a null id among the bounds.
 NULL_ID = -(1 << 63)
 
@@ -175,7 +175,7 @@ def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
     if shards < 2:
         return np.zeros(0, np.int64)
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.agg(F.percentile_approx(least, [k / shards for k in range(1, shards)], 10_000).alias("q")).first()["q"]
+    found = docs.agg(F.percentile_approx(least, [k / shards for k in range(1, shards)], min(1_000_000, max(10_000, 10 * shards))).alias("q")).first()["q"]
     return np.asarray(found or [], np.int64)
 
 

@@ -9,7 +9,8 @@ the vote into a probability. The neighbours and the words shared with them are t
 
 Defined results: a null or empty text, and one without any word of the vocabulary, gets the calibrated share of label 1
 among such examples, and no evidence; without labels every score is 0; repeated rows score alike; an empty table gives
-an empty result; further columns pass through, those named score, predicted or evidence are replaced.
+an empty result; further columns pass through, those named held_out, score, predicted or evidence are
+replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ sample of these labelled URLs and are then turned into column expressions, so sc
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the
 trees on zero features; repeated rows are judged alike; with no labelled URL every undecided one is allowed, with
 labels of one kind all get that verdict; an empty table gives an empty result; further columns pass through, those
-named like the operator's own (host, path, rule, verdict, block_score) are replaced.
+named like the operator's own (host, path, rule, verdict, block_score) are replaced, those named like a feature
+(FEATURES, _suffix) are left out.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def _tree(node, depth: int = 0) -> Column:
 def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule, verdict and block_score (null where a rule decides)."""
     verdict = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)]) if rules else None
-    judged = pages.drop(*_OWN).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    judged = pages.drop(*_OWN, *FEATURES, "_suffix").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string") if verdict is None else F.element_at(verdict, F.col("rule"))
     judged = judged.withColumn("verdict", by_rule)

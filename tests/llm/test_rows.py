@@ -238,6 +238,10 @@ PAGES = [
     ("<title>t</title><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><p><b>A<br><p>B</p></article>", "A B"),
     ("<article><table><tr><td>a<td>b</table><pre> x\n  y</pre></article>", "a b x y"),
     ("<body><div class='cookie-notice'>We use cookies</div><div><p>A long paragraph of text without any article around it, which ends well.</p></div></body>", "A long paragraph of text without any article around it, which ends well."),
+    ("<head><title>t</title><p>No body, but a text that goes on for a while.", "No body, but a text that goes on for a while."),
+    ("<div class='site-header'>Site</div><article><div class='entry-header'><h1>T</h1></div><p>x</p><div class='share-bar'>s</div></article>", "T x"),
+    ("<article><p>a</p><section class='reader-comments'><article class='comment'><p>A comment of some length, here.</p></article></section></article>", "a"),
+    ("<main><h1>T</h1><p>One.</p><div class='notice'>n</div></main><aside class='sidebar'>s</aside><div role='search'>q</div>", "T One."),
     ("plain text only", "plain text only"),
     ("<article><p>cut <a href=\"", "cut"),
     ("", ""),
