@@ -21,11 +21,11 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """df with a weight n / (classes * n of the class); one row per class is broadcast."""
+    """df with a weight n / (classes * n of the class)."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_k"))
     totals = sizes.agg(F.sum("_k").alias("_n"), F.count("*").alias("_c"))
     weights = sizes.crossJoin(totals).select(F.col(label), (F.col("_n") / (F.col("_c") * F.col("_k"))).alias("_weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def _scored(model: Transformer, df: DataFrame, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ def prevalence_deviation(links: DataFrame, entity: str, label: str, split: Colum
     per_split = tagged.groupBy("split").agg(F.count_distinct(entity).alias("n_split"))
     overall = links.groupBy(label).agg(F.count_distinct(entity).alias("n_label")).crossJoin(F.broadcast(links.agg(F.count_distinct(entity).alias("n_all"))))
     counts = tagged.groupBy("split", label).agg(F.count_distinct(entity).alias("n"))
-    grid = per_split.crossJoin(F.broadcast(overall)).join(counts, ["split", label], "left")
+    grid = overall.crossJoin(F.broadcast(per_split)).join(counts, ["split", label], "left")  # a row per split
     gap = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_split") - F.col("n_label") / F.col("n_all"))
     return grid.groupBy("split").agg(F.avg(gap).alias("deviation"))
 
@@ -35,7 +35,7 @@ def choose_split(links: DataFrame, entity: str, label: str, *, candidates: int =
     n_split = tagged.groupBy("seed", "split").agg(F.count_distinct(entity).alias("n_split"))
     counts = tagged.groupBy("seed", "split", label).agg(F.count_distinct(entity).alias("n"))
     overall = links.groupBy(label).agg(F.count_distinct(entity).alias("n_label")).crossJoin(F.broadcast(links.agg(F.count_distinct(entity).alias("n_all"))))
-    grid = n_split.crossJoin(F.broadcast(overall)).join(counts, ["seed", "split", label], "left")
+    grid = overall.crossJoin(F.broadcast(n_split)).join(counts, ["seed", "split", label], "left")  # three rows per candidate
     gap = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_split") - F.col("n_label") / F.col("n_all"))
     best = grid.groupBy("seed").agg(F.avg(gap).alias("d")).orderBy(F.round("d", 12), "seed").first()
     return best["seed"] if best else seed
