@@ -353,7 +353,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
         .mapInArrow(_sum, "doc_id long, n long, h1 long, h2 long, shared long"),
         "sizes",
     )
-    alike = info.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"))
+    equal = info.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"))
+    alike = written(spark, equal, "alike")  # apart from the join below, whose hot keys can then be split
     stay = written(spark, alike.where(f"shared * {share[1]} >= n * {share[0]}").select("rep", "n", "h1", "h2"), "stay")
 
     # The sets of the documents that stay. The filter's size is fixed; what it lets through in error the join drops.
