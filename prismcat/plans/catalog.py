@@ -751,3 +751,48 @@ def prepare_tracks(spark, d):
 
     rules = PrepareRules(order=("popularity",), incomplete={"tempo": 0})
     return rounded(prepare(raw_items(spark, d), rules)["tracks"].select("track_id", "popularity_median", "observations", "is_short_track", "is_long_track", "audio_analysis_incomplete"))
+
+
+# --- sources, leaders, event windows -------------------------------------------------------------------------------
+
+
+@query(r"""SELECT 'mail' AS pattern, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+')) AS "rows" FROM documents UNION ALL SELECT 'assignment', count(*) FILTER (regexp_matches(text, '(key|token|secret|password) *= *"')) FROM documents UNION ALL SELECT 'phone', count(*) FILTER (regexp_matches(text, '\+[0-9]+ \([0-9]+\)')) FROM documents""")
+def secret_scan(spark, d):
+    from prismcat.sources.io import secrets
+
+    return secrets(table(spark, d, "documents"), "text", {"mail": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+", "assignment": r'(key|token|secret|password) *= *"', "phone": r"\+[0-9]+ \([0-9]+\)"})
+
+
+@query("""SELECT l_orderkey, count(*) AS members, first(l_partkey ORDER BY l_extendedprice DESC, l_partkey) AS representative_l_partkey FROM lineitem GROUP BY 1 ORDER BY members DESC, l_orderkey LIMIT 20""")
+def largest_groups(spark, d):
+    best = I.representatives(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_partkey", [])
+    return A.top(best, 20, F.desc("members"), F.col("l_orderkey")).select("l_orderkey", "members", "representative_l_partkey")
+
+
+@query("""WITH g AS (SELECT p_brand, round(avg(l_extendedprice) - (SELECT avg(l_extendedprice) FROM lineitem), 4) AS gain FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT * FROM (SELECT 'first' AS side, * FROM g ORDER BY gain DESC, p_brand LIMIT 12) UNION ALL SELECT * FROM (SELECT 'last' AS side, * FROM g ORDER BY gain, p_brand LIMIT 12)""")
+def first_and_last_categories(spark, d):
+    lines = line_parts(spark, d)
+    mean = table(spark, d, "lineitem").agg(F.avg("l_extendedprice").alias("m"))
+    gains = lines.groupBy("p_brand").agg(F.avg("l_extendedprice").alias("a")).crossJoin(F.broadcast(mean)).select("p_brand", F.round(F.col("a") - F.col("m"), 4).alias("gain"))  # one row
+    ends = [A.top(gains, 12, order, F.col("p_brand")).select(F.lit(side).alias("side"), "p_brand", "gain") for side, order in (("first", F.desc("gain")), ("last", F.asc("gain")))]
+    return ends[0].unionByName(ends[1])
+
+
+@query("SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def events_per_hour(spark, d):
+    from prismcat.streaming.sessions import windowed_counts
+
+    counts = windowed_counts(table(spark, d, "events"))
+    return counts.select(F.unix_timestamp("start").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT user_id, t, sum(CASE WHEN p IS NULL OR t - p >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS n FROM e)
+SELECT user_id, round(min(t), 3) AS start, round(max(t) + 1800, 3) AS "end", count(*) AS events FROM s GROUP BY user_id, n""")
+def user_sessions(spark, d):
+    from prismcat.streaming.sessions import sessions
+
+    found = sessions(table(spark, d, "events").where("user_id is not null"))
+    seconds = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
+    return found.select("user_id", seconds("start").alias("start"), seconds("end").alias("end"), "events")
