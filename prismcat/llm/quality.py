@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
 
 #: Bounds of the model: labelled documents, terms, latent axes.
-SAMPLE, TERMS, AXES = 3000, 6000, 64
+SAMPLE, TERMS, AXES = 3000, 4000, 64
 NEIGHBOURS, POWER = 25, 4
 THRESHOLD = 0.3
 ROWS = 256
@@ -114,11 +114,13 @@ class QualityModel:
 
 
 def fit(sample: list[tuple[str, int]], *, terms: int = TERMS, axes: int = AXES) -> QualityModel:
-    """The model of a bounded sample of (text, label)."""
-    counted = [terms_of(t) for t, _ in sample]
+    """The model of a bounded sample of (text, label). Terms are read twice rather than kept for all documents."""
     labels = np.asarray([y for _, y in sample], np.float64)
-    frequency = Counter(t for c in counted for t in c)
+    frequency: Counter = Counter()
+    for text, _ in sample:
+        frequency.update(terms_of(text).keys())
     chosen = sorted((t for t, n in frequency.items() if n >= 2), key=lambda t: (-frequency[t], t))[:terms]
+    frequency = Counter({t: frequency[t] for t in chosen})
     known = {t: i for i, t in enumerate(chosen)}
     n = len(sample)
     idf = np.asarray([math.log((1 + n) / (1 + frequency[t])) + 0.1 for t in chosen])
@@ -126,8 +128,8 @@ def fit(sample: list[tuple[str, int]], *, terms: int = TERMS, axes: int = AXES)
     if not chosen:
         return QualityModel({}, np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), prior)
     matrix = np.zeros((n, len(chosen)), np.float32)
-    for row, c in enumerate(counted):
-        at = [(known[t], x) for t, x in c.items() if t in known]
+    for row, (text, _) in enumerate(sample):
+        at = [(known[t], x) for t, x in terms_of(text).items() if t in known]
         if at:
             i = np.asarray([a for a, _ in at])
             w = (1 + np.log(np.asarray([x for _, x in at], np.float64))) * idf[i]
@@ -164,7 +166,9 @@ def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFr
 
 def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> QualityModel:
     """Learns from rows whose crc32(doc_id as text) mod 5 is not 0."""
-    return fit(labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), 5) != 0, sample))
+    model = fit(labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), 5) != 0, sample))
+    worker_cache("driver")  # the shapes of the sample are not needed here any more
+    return model
 
 
 def score_quality(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

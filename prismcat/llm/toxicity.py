@@ -107,11 +107,14 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class ToxicityModel:
     def __init__(self, sample: list[tuple[str, int]], terms: int = TERMS):
         self.cache: dict[str, tuple[int, ...]] = {}
-        counts = [Counter(w for p, c in Counter(t.split()).items() for w in terms_of(p) for _ in range(c)) for t, _ in sample]
         self.labels = np.asarray([y for _, y in sample], float)
         n, positive = len(sample), float(self.labels.sum())
-        frequency = Counter(w for c in counts for w in c)
-        toxic = Counter(w for c, y in zip(counts, self.labels, strict=True) if y for w in c)
+        frequency, toxic = Counter(), Counter()  # of documents; their terms are read again below rather than kept
+        for text, y in sample:
+            found = {w for p in set(text.split()) for w in terms_of(p)}
+            frequency.update(found)
+            if y:
+                toxic.update(found)
         self.prior = positive / n if n else 0.0
 
         def chi(word: str) -> float:
@@ -123,7 +126,8 @@ class ToxicityModel:
         self.words = sorted(level, key=lambda w: (-level[w], w))[:terms]
         self.terms = {w: i for i, w in enumerate(self.words)}
         self.idf = [math.log((1 + n) / (1 + frequency[w])) + 1 for w in self.words]
-        vectors = [self.vector({self.terms[w]: x for w, x in c.items() if w in self.terms}) for c in counts]
+        del frequency, toxic, level
+        vectors = [self.vector(self.count(t)) for t, _ in sample]
         self.index = BlockMaxIndex(vectors, len(self.words))
         raw = np.asarray([self._vote(v, leave=i) for i, v in enumerate(vectors)])
         self.silent = raw < 0  # examples without a word of the vocabulary
