@@ -367,14 +367,14 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
 
     # The rarest n-grams of each document that stays, as far as others have them; documents meet in them.
     grams = sets.select("id", "n", F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    counts = written(spark, grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     known = grams.join(counts, "gram")
     by_rarity = W.partitionBy("id", "n").orderBy("df", "gram")
     whole = W.partitionBy("id", "n")
     ranked = known.withColumn("place", F.row_number().over(by_rarity)).withColumn("common", F.count("*").over(whole))
     ahead = ranked.where(f"place <= n - ceil(n * {share[0]} / {share[1]}) + 1 - (n - common)").select("gram", "id")
     ahead = written(spark, ahead, "prefixes")
-    centres = ahead.groupBy("gram").agg(F.min("id").alias("centre"), F.count("*").alias("many")).where("many > 1")
+    centres = written(spark, ahead.groupBy("gram").agg(F.min("id").alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
     meetings = ahead.join(centres, "gram").where("id <> centre").select("id", "centre").distinct()
     groups = connected_components(meetings).withColumnRenamed("component", "comp")
 
