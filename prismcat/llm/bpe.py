@@ -188,11 +188,12 @@ class Bpe:
         return " ".join([t for t in map(get, ids) if t is not None])
 
 
-def tokenizer(path: str) -> Bpe:
-    """One per worker and file."""
+def tokenizer(path: str, table: int = TABLE) -> Bpe:
+    """One per worker and file, with a table of at most so many words."""
     kept = worker_cache("bpe")
     if path not in kept:
         kept[path] = Bpe(path)
+    kept[path].pieces.limit = table
     return kept[path]
 
 
@@ -200,7 +201,7 @@ def _columns(batch: pa.RecordBatch, own: tuple[str, ...]) -> dict[str, pa.Array]
     return {n: batch.column(k) for k, n in enumerate(batch.schema.names) if n not in own}
 
 
-def bpe_round_trip(docs: DataFrame, path: str, *, digests_only: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, *, digests_only: bool = False, table: int = TABLE) -> DataFrame:
     """docs with ids array<int>, n_tokens and decoded; or, with digests_only, n_tokens, ids_sha256 and decoded_sha256.
 
     One pass without a shuffle; a batch's rows are handled in slices, so memory is bounded by the longest texts.
@@ -212,7 +213,7 @@ def bpe_round_trip(docs: DataFrame, path: str, *, digests_only: bool = False) ->
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, table)
         for whole in batches:
             for batch in slices(whole, "text"):
                 flat, at = bpe.pieces.encode(batch.column("text"))

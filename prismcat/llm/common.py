@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -23,10 +24,19 @@ def worker_cache(owner: str) -> dict:
         _caches["items"].clear()
         _caches["owner"] = owner
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
     return _caches["items"]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: else a worker keeps its largest task's for good."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not that C library
+        return
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

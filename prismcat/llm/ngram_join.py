@@ -36,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prismcat.llm.common import read, worker_cache, written
+from prismcat.llm.common import give_back, read, worker_cache, written
 from prismcat.llm.components import connected_components, union_find
 from prismcat.llm.pieces import slices
 
@@ -155,6 +155,7 @@ def _deal(words: int, blocks: int):
                         out.append((b, number, GRAMS, [n_docs], packer.compress(g[a:z].tobytes() + (o[a:z].astype("<u2") if n_docs < 65535 else o[a:z]).tobytes())))
                 yield _rows(out)
                 number += 1
+        give_back()
 
     return run
 
@@ -198,6 +199,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(o[cuts[k] : cuts[k + 1]], minlength=docs[k] + 1)[: docs[k]]
         if counts.any():
             yield _rows([(block, number, COUNTS, None, packer.compress(counts.astype("<u4").tobytes()))])
+    del grams, owners, which, blocks, g, o, w, b, same, shared, order, by
+    give_back()
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
