@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prismcat.llm import bpe, mixing, ngram_join, quality, toxicity
 from prismcat.llm.common import read, written
 
+#: Words whose ids a worker keeps in the last stage, beside what earlier stages have left in its memory.
+WORDS = 150_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture, with a digest of what they decode to."""
-    coded = bpe.bpe_round_trip(_documents(docs), bpe.default_path())
+    coded = bpe.bpe_round_trip(_documents(docs), bpe.default_path(), table=WORDS)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
