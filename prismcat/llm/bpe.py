@@ -29,12 +29,14 @@ import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from prismcat.llm.common import read, worker_cache
+from prismcat.llm.common import give_back, read, worker_cache
 from prismcat.llm.pieces import LONGEST, PieceCache, slices
 
 NONE = 1 << 30
 #: Words in the byte alphabet whose ids a worker keeps, and entries of its PieceCache.
 WORDS_KEPT, TABLE = 100_000, 600_000
+#: Texts are handled in slices of about so many bytes.
+SLICE = 2_000_000
 
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a printable character: itself where printable, else the next of U+0100 on."""
@@ -193,6 +195,7 @@ def tokenizer(path: str, table: int = TABLE) -> Bpe:
     kept = worker_cache("bpe")
     if path not in kept:
         kept[path] = Bpe(path)
+        give_back()  # what reading the file took
     kept[path].pieces.limit = table
     return kept[path]
 
@@ -215,16 +218,16 @@ def bpe_round_trip(docs: DataFrame, path: str, *, digests_only: bool = False, ta
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, table)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 flat, at = bpe.pieces.encode(batch.column("text"))
-                ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+                ids = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 columns = [batch.column(n) for n in names] + [pa.array([len(x) for x in ids], pa.int64())]
-                decoded = [bpe.decode(x) for x in ids]
+                decoded = [bpe.decode(x.tolist()) for x in ids]
                 if digests_only:
                     sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-                    columns += [pa.array([sha(" ".join(map(str, x))) for x in ids], pa.string()), pa.array([sha(s) for s in decoded], pa.string())]
+                    columns += [pa.array([sha(" ".join(map(str, x.tolist()))) for x in ids], pa.string()), pa.array([sha(s) for s in decoded], pa.string())]
                 else:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in new]])
 
     return docs.select(*[f"`{n}`" for n in dict.fromkeys([*names, "text"])]).mapInArrow(run, T.StructType([*kept, *new]))
