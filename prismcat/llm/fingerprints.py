@@ -31,7 +31,8 @@ from prismcat.llm.common import read, written
 
 PRIMES, BASE = (2147483647, 2147483629), 1_000_003
 SPAN, BINS = 8, 64
-#: Of a text's span hashes, about so many times BINS of the smallest are looked at; a bin is empty with chance e**-12.
+#: Of a text's span hashes, about so many times BINS of the smallest are looked at first: if spans differ, a bin stays empty
+#: with chance e**-12. Where one does, as in repetitive texts, all are looked at.
 DEPTH = 12
 
 
@@ -109,7 +110,14 @@ def sketch(spans: np.ndarray) -> np.ndarray:
     mixed >>= np.uint64(2)
     n = len(mixed)
     if n > DEPTH * BINS:
-        mixed = mixed[mixed < np.uint64((1 << 62) // n * DEPTH * BINS)]
+        out = _bins(mixed[mixed < np.uint64((1 << 62) // n * DEPTH * BINS)])
+        if out.all():
+            return out
+    return _bins(mixed)
+
+
+def _bins(mixed: np.ndarray) -> np.ndarray:
+    """The eight bits of the smallest hash in each bin."""
     mixed.sort()
     out = np.zeros(BINS, np.uint8)
     bins = (mixed % np.uint64(BINS)).astype(np.int64)[::-1]

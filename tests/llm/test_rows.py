@@ -228,6 +228,20 @@ def test_prefix_hashes():
     assert P.joined_hash(x, 120, y, 77) == P.joined_hash(z, z.n, z, 0)
 
 
+@pytest.mark.parametrize("times", [20, 200, 2000])
+def test_likeness_of_repetitive_texts(times):
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))
+    texts = [passage * times, passage * times + " x", passage[:30] * times]
+    sets = [{t[i : i + P.SPAN] for i in range(len(t) - P.SPAN + 1)} for t in texts]
+    bins = [P.Document(0, t).bins for t in texts]
+    for k in (1, 2):
+        dice = 2 * len(sets[0] & sets[k]) / (len(sets[0]) + len(sets[k]))
+        assert P.likeness(bins[0], bins[k]) == pytest.approx(dice, abs=0.2)
+    # the bins are those of the distinct spans, however often each is there
+    assert all((P.sketch(np.unique(P.PrefixHashes(t).spans(P.SPAN))) == b).all() for t, b in zip(texts, bins, strict=True))
+
+
 # --- pages
 
 PAGES = [
