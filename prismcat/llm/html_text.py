@@ -1,9 +1,9 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A tokenizer of its own reads the whole page (scripts, styles and other raw text are skipped whole, void and unclosed
-elements are handled) and yields text blocks with the open elements around them. A fixed linear classifier turns tag
-names, class and id words, length and link density of a block into a cost for each label; these are the capacities of
-the block's edges to the terminals. Neighbouring blocks, the more the closer they are in the element tree, are joined
+A tokenizer of its own reads the whole page (raw text is skipped up to its end tag or, as in browsers, the page's end;
+void and unclosed elements are handled, media elements without an end tag are empty) and yields text blocks with the
+open elements around them. A fixed linear classifier turns tag names, class and id words, length and link density of a
+block into a cost for each label; these are the capacities of the block's edges to the terminals. Neighbouring blocks, the more the closer they are in the element tree, are joined
 by smoothness edges. The minimum cut (max-flow by shortest augmenting paths) parts content from boilerplate.
 
 A block whose element says what it is (nav, aside, a class "ad", ...) has a cost that no smoothness can outweigh.
@@ -27,9 +27,21 @@ from pyspark.sql import DataFrame, types as T
 from prismcat.llm.common import read
 
 # Element names of HTML.
-RAW = frozenset("script style noscript template iframe object svg math textarea select option title head canvas video audio map".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is not shown or not the page's; a run of text goes on after those of the first kind.
+ASIDE = frozenset("noscript template object svg canvas video audio annotation annotation-xml".split())
+HIDDEN = ASIDE | frozenset("select datalist optgroup option head map".split())
+#: Elements whose inside is a fallback: without an end tag of their own they are empty.
+MEDIA = {name: re.compile(rf"<(/?){name}\b", re.I) for name in ("video", "audio", "canvas", "object", "iframe")}
+#: Elements that may be closed by "/>", and so may any element inside them; those of PAGE_TAGS end them, but not inside INTEGRATION.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+PAGE_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong strike sub sup table tt u ul var article section main aside header footer nav figure form".split()
+)
+MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts none mstyle merror mpadded mphantom menclose mfenced maction".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 #: Elements that are boilerplate whatever stands around them.
 PLAIN_BOILER = frozenset("nav aside footer form button fieldset menu dialog".split())
 BLOCKED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
@@ -50,7 +62,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: An opening tag of the first kind closes an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul details figure figcaption menu".split())
-_SCOPE = frozenset("article aside body div footer header html main nav section table td th ul ol dl form blockquote".split())
+_SCOPE = frozenset("article aside body div footer header html main nav section table td th ul ol dl form blockquote select datalist".split()) | ASIDE
 
 
 @dataclass
@@ -71,7 +83,7 @@ NEUTRAL, CONTENT, BOILER = 0, 1, 2
 
 def _state(name: str, attributes: str, parent: int, in_content: bool) -> int:
     """State of an element: boilerplate is inherited; article and main make content."""
-    if parent == BOILER or name in PLAIN_BOILER:
+    if parent == BOILER or name in PLAIN_BOILER or name in HIDDEN:
         return BOILER
     if name == "header":
         return parent if in_content else BOILER
@@ -104,6 +116,7 @@ def blocks_of(page: str) -> list[Block]:
     number, at, n = 0, 0, len(page)
     block: Block | None = None
     links = 0
+    before: dict[int, Block | None] = {}  # the block that goes on after an element of ASIDE
 
     def add(text: str) -> None:
         nonlocal block
@@ -130,22 +143,37 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] if m[2] else m[6] or ""
+        if not closing and (name in PAGE_TAGS or name in RAW or attributes.endswith("/")):
+            inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in INTEGRATION), -1)
+            inside = inner >= 0 and stack[inner][0] in FOREIGN
+            if name in FOREIGN or (inner >= 0 and name not in PAGE_TAGS):
+                if attributes.endswith("/"):
+                    continue
+            elif inside and name in PAGE_TAGS:
+                links -= sum(e[0] == "a" for e in stack[inner:])
+                block = before.get(stack[inner][1], block)
+                del stack[inner:]
         if name in VOID:
             if name in ("br", "hr"):
                 block = None
             continue
         if not closing:
+            if name in MEDIA:
+                own = MEDIA[name].search(page, at)
+                if own is None or not own[1] and (name != "object" or attributes.endswith("/")):
+                    continue
             if name in RAW:
-                if name not in ("head", "map"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else n
-                    if name not in ("svg", "math", "canvas", "video", "audio", "object", "iframe"):
-                        block = block if name in ("script", "style", "template", "noscript") else None
-                else:
-                    stack.append((name, number := number + 1, BOILER))
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else n
+                if name in ("textarea", "title"):
+                    block = None
                 continue
-            if stack and stack[-1][0] == "head":
+            if stack and stack[-1][0] == "head" and name not in ("noscript", "template"):
                 stack.pop()  # an element of the body ends the head
+            if name == "body":
+                del stack[next((k for k, e in enumerate(stack) if e[0] == "head"), len(stack)) :]
+            if name in ASIDE:
+                before[number + 1] = block
             if name not in INLINE:
                 block = None
                 closes = CLOSES.get(name, frozenset())
@@ -154,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in closes:
                         links -= sum(e[0] == "a" for e in stack[k:])
-                        kept = [e for e in stack[k + 1 :] if e[0] in INLINE] if stack[k][0] == "p" else []
+                        kept = [e for e in stack[k + 1 :] if e[0] in INLINE and e[0] not in MATH] if stack[k][0] == "p" else []
                         links += sum(e[0] == "a" for e in kept)
                         del stack[k:]
                         stack += kept
@@ -172,12 +200,13 @@ def blocks_of(page: str) -> list[Block]:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
                 gone = stack[k:]
+                goes_on = before.get(gone[0][1])
                 links -= sum(e[0] == "a" for e in gone)
                 if any(e[0] not in INLINE for e in gone) or (stack[k - 1][2] if k else NEUTRAL) != gone[-1][2]:
-                    block = None
+                    block = goes_on
                 del stack[k:]
                 break
-            if name in INLINE and stack[k][0] not in INLINE:
+            if name in INLINE and name != "math" and stack[k][0] not in INLINE:
                 break
         else:
             if name == "p":

@@ -270,6 +270,26 @@ def test_main_text(page, text):
     assert text is None or got == text
 
 
+UNCLOSED = [
+    ("<article><p>a</p><datalist><option value=a><option value=b></datalist><p>b</p></article>", "a b"),
+    ("<article><p>a <svg viewBox='0 0 1 1'/> b</p><p>c</p><svg><text>no</text><path d=''/></svg><p>d</p></article>", "a b c d"),
+    ("<article><p>a</p><svg><path d='M0'><title/><p>b</p></article>", "a b"),
+    ("<article><p>a <svg><title>no</title><g/></svg>, b</p></article>", "a , b"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><semantics><annotation>x=2</annotation></semantics></math>, yes</p></article>", "so x=2, yes"),
+    ("<article><p>a</p><video src=x><p>b</p><audio src=y/><p>c</p><canvas/><p>d</p><iframe src=z/><p>e</p><object data=w><p>f</p></article>", "a b c d e f"),
+    ("<article><p>a<video src=x><source src=y>no video</video>b</p><object data=w><p>no</p></object><canvas>no</canvas><iframe><p>no</p></iframe><p>c</p></article>", "ab c"),
+    ("<div><select><option>x<option>y</div><article><p>a</p><div><select><option>no</div><p>b</p></article>", "a b"),
+    ("<article><p>a<noscript><div>no</div></noscript>b</p><template><p>no</p><template>no</template><p>no</p></template><div><noscript>no</div><p>c</p></article>", "ab c"),
+    ("<head><noscript><link rel=x><body><article><p>a</p></article>", "a"),
+    ("<head><noscript><style>no</style></noscript><title>no</title></head><body><article><p>a</p></article>", "a"),
+]
+
+
+@pytest.mark.parametrize("page,text", UNCLOSED)
+def test_skipped_elements_end(page, text):
+    assert H.main_text(page) == text
+
+
 def test_pages_equal_their_article(spark, data):
     import html
 
