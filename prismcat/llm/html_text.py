@@ -6,7 +6,8 @@ open elements around them. A fixed linear classifier turns tag names, class and
 block into a cost for each label; these are the capacities of the block's edges to the terminals. Neighbouring blocks, the more the closer they are in the element tree, are joined
 by smoothness edges. The minimum cut (max-flow by shortest augmenting paths) parts content from boilerplate.
 
-A block whose element says what it is (nav, aside, a class "ad", ...) has a cost that no smoothness can outweigh.
+A block in an element that says what it is (nav, footer, hidden, ...) has a cost that no smoothness can outweigh. Class and id
+words ("ad", "comments", ...) put their element in doubt: a finite cost, which an article or main inside takes back.
 
 Defined results: null, empty and text-free pages give the empty text; broken markup never fails, an unclosed element
 ends with its parent; repeated rows get equal texts; an empty table gives an empty result; further columns pass
@@ -53,7 +54,10 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content main post story entry body text page prose maincontent articlebody".split())
 ARTICLE_WORDS = frozenset("article post story entry".split())
-#: Costs in thousandths; SURE is above the sum of a block's smoothness edges.
+#: First words of a class that tell what an element has, not what it is.
+HAS_WORDS = frozenset("has have no not with without".split())
+#: Costs in thousandths; SURE is above the sum of a block's smoothness edges. Doubt costs more where a page has content without doubt.
+DOUBTED, DOUBTED_MARKED = 1200, 1900
 SURE, SMOOTH_SAME, SMOOTH_NEAR, SMOOTH_FAR = 1_000_000, 900, 500, 150
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -77,17 +81,18 @@ class Block:
     text: str = ""
 
 
-#: What the elements around a block say: nothing, content, boilerplate.
-NEUTRAL, CONTENT, BOILER = 0, 1, 2
+#: What the elements around a block say: nothing, content, boilerplate, boilerplate by a word of a class or id.
+NEUTRAL, CONTENT, BOILER, DOUBT = 0, 1, 2, 3
 
 
 def _state(name: str, attributes: str, parent: int, in_content: bool) -> int:
-    """State of an element: boilerplate is inherited; article and main make content."""
+    """State of an element: boilerplate and doubt are inherited; article and main make content, but not in doubt inside another."""
     if parent == BOILER or name in PLAIN_BOILER or name in HIDDEN:
         return BOILER
     if name == "header":
         return parent if in_content else BOILER
-    state = CONTENT if name in ("article", "main") else parent
+    state = CONTENT if name in ("article", "main") and not (parent == DOUBT and in_content) else parent
+    doubt = False
     if attributes and name not in ("html", "body"):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
@@ -96,14 +101,17 @@ def _state(name: str, attributes: str, parent: int, in_content: bool) -> int:
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return BOILER
             if key in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                against = words & BOILER_WORDS
+                found = [[w.lower() for w in _WORDS.findall(v)] for v in value.split()]
+                words = {w for f in found for w in f}
+                against = {w for f in found if f and f[0] not in HAS_WORDS for w in f} & BOILER_WORDS
                 if against == {"header"} and (in_content or words & ARTICLE_WORDS):
                     against = set()  # an article's own heading
                 if against and not (name in ("article", "main") and words & CONTENT_WORDS):
-                    return BOILER
-                if any(w in CONTENT_WORDS for w in words) and state == NEUTRAL:
+                    doubt = True
+                elif state == NEUTRAL and words & CONTENT_WORDS:
                     state = CONTENT
+    if doubt:
+        state = DOUBT
     if re.search(r"\shidden(?:\s|/|$)", attributes):
         return BOILER
     return state
@@ -221,6 +229,8 @@ def costs(block: Block, marked: bool) -> tuple[int, int]:
     if block.state == BOILER:
         return 0, SURE
     score = 400 if block.state == CONTENT else -300 if marked else 50
+    if block.state == DOUBT:
+        score -= DOUBTED_MARKED if marked else DOUBTED
     size = len(block.text)
     linked = min(1.0, block.linked / max(1, sum(map(len, block.parts))))
     if block.state == CONTENT:

@@ -290,6 +290,24 @@ def test_skipped_elements_end(page, text):
     assert H.main_text(page) == text
 
 
+LONG = "A long paragraph of text, which goes on and on until it has said all that there is to say about a matter of this size, and which then ends well."
+WRAPPED = [
+    (f"<div class='content has-sidebar'><p>{LONG}</p><p>Short.</p></div>", f"{LONG} Short."),
+    (f"<div id='page' class='no-sidebar'><nav>menu</nav><article><p>{LONG}</p></article><div class='sidebar'>side</div></div>", LONG),
+    ("<div class='layout with-comments'><article><p>a</p><div class='comments'><p>c</p></div></article></div>", "a"),
+    ("<section class='legal'><article><h1>T</h1><p>a</p></article></section>", "T a"),
+    ("<div id='search-page'><main><p>a</p></main><footer>f</footer></div>", "a"),
+    (f"<section class='legal'><p>{LONG}</p><p>{LONG}</p></section><div class='menu'>m</div>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p></article><div class='comments'><article class='comment'><p>{LONG}</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p><div class='ad'>Buy it now, and get another one.</div><p>b</p></article><div class='related'><p>{LONG}</p></div>", f"{LONG} b"),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPED)
+def test_words_of_a_wrapper_do_not_decide(page, text):
+    assert H.main_text(page) == text
+
+
 def test_pages_equal_their_article(spark, data):
     import html
 
