@@ -1,6 +1,7 @@
 """Quality by the vote of the nearest labelled documents in a latent-semantic space.
 
-A document's terms are its words, the shapes of its words and a few marks of how it repeats itself. The labelled sample
+A document's terms are its words, the shapes of its words and a few marks of how it repeats itself. Words over 40 characters,
+as in scripts without spaces or packed code, count as their pieces, so all of a text counts. The labelled sample
 gives vocabulary, inverse document frequencies and, by a randomised truncated SVD of its TF-IDF matrix, the latent
 axes. All this is bounded by parameters and broadcast. Each document is projected, compared with every labelled vector
 by exact cosine, block by block, and scored by the labels of its nearest neighbours, weighted by similarity; all
@@ -14,9 +15,12 @@ empty result; further columns pass through, those named held_out, score or predi
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -31,39 +35,61 @@ THRESHOLD = 0.3
 ROWS = 256
 
 
-def shape(word: str) -> str:
-    """Kinds of characters in a word, runs as one: lower a, upper A, digit 0, anything else as it is."""
-    out, last = [], ""
-    for c in word[:200]:
-        k = ("a" if c.islower() or not c.isupper() else "A") if c.isalpha() else "0" if c.isdigit() else c
-        if k != last:
-            out.append(k)
-            last = k
-    return "".join(out[:6])
+#: Longest word that is a term as it is, and kinds of characters in a shape; a word with more kinds has several shapes.
+WHOLE, KINDS = 40, 6
+_PIECE = re.compile(r"[^\W\d_]+|\d+|([\W_])\1*")
+
+
+def _kind(c: str) -> str:
+    return ("a" if c.islower() or not c.isupper() else "A") if c.isalpha() else "0" if c.isdigit() else c
+
+
+def shapes_of(word: str) -> list[str]:
+    """Kinds of characters in a word, runs as one: lower a, upper A, digit 0, anything else as it is; by six."""
+    kinds = [k for k, _ in groupby(word, _kind)]
+    return ["".join(kinds[k : k + KINDS]) for k in range(0, len(kinds), KINDS)]
+
+
+def pieces_of(word: str) -> list[str]:
+    """The runs of letters, digits or one mark in a long word; of long runs and of those that are not ASCII the character pairs."""
+    out = []
+    for m in _PIECE.finditer(word):
+        run = m[0]
+        if len(run) == 1 or (len(run) <= WHOLE and run.isascii()):
+            out.append(run)
+        else:
+            out += map(str.__add__, run, run[1:])
+    return out
 
 
 def terms_of(text: str | None) -> Counter:
     """Terms and their weights before TF-IDF: words, shapes, and marks of length and repetition."""
-    shapes = worker_cache("quality")
-    run = (text or "").split()
-    n = len(run)
-    if not n:
+    cache = worker_cache("quality")
+    split = (text or "").split()
+    if not split:
         return Counter()
-    words = Counter(run)
+    long = [w for w in split if len(w) > WHOLE]
+    run = [p for w in split for p in (pieces_of(w) if len(w) > WHOLE else (w,))] if long else split
+    n, words = len(run), Counter(run)
     terms: Counter = Counter()
-    for word, count in words.items():
-        found = shapes.get(word)
+    shaped = 0
+    for word, count in (Counter(w for w in split if len(w) <= WHOLE) if long else words).items():
+        found = cache.get(word)
         if found is None:
-            found = shape(word)
-            if len(shapes) > 100_000:
-                shapes.clear()
-            if len(word) <= 40:
-                shapes[word] = found
-        terms["s " + found] += count
-        if len(word) <= 40:
-            terms["w " + word.lower()] += count
+            found = (intern("w " + word.lower()), *(intern("s " + kinds) for kinds in shapes_of(word)))
+            if len(cache) > 100_000:
+                cache.clear()
+            cache[word] = found
+        for term in found:
+            terms[term] += count
+        shaped += count * (len(found) - 1)
+    for word in long:
+        shapes = shapes_of(word)
+        terms.update(["s " + kinds for kinds in shapes])
+        terms.update(["w " + piece.lower() for piece in pieces_of(word)])
+        shaped += len(shapes)
     bucket = lambda name, x, weight: terms.update({f"m {name} {x}": weight})
-    common = {k: c / n for k, c in terms.items() if k[0] == "s"}
+    common = {k: c / shaped for k, c in terms.items() if k[0] == "s"}
     bucket("length", min(9, int(math.log2(n))), 1)
     bucket("distinct", int(10 * len(words) / n), 8)
     bucket("top", int(10 * words.most_common(1)[0][1] / n), 8)

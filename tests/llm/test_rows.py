@@ -174,6 +174,26 @@ def test_classifiers_odd_rows(spark, score, label):
     assert score(docs, docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_reads_texts_without_spaces(spark):
+    rng = random.Random(14)
+    head = "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(300))
+    tails = ["".join(rng.choice(letters) for _ in range(300)) for letters in ("辰宿列张寒来暑往", "秋收冬藏闰余成岁") for _ in range(40)]
+    rows = [(k, head + t, int(k < 40)) for k, t in enumerate(tails)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["score"] for r in Q.score_quality(docs, docs, labels).where("held_out").collect()}
+    assert min(s for i, s in scores.items() if i < 40) > max(s for i, s in scores.items() if i >= 40)
+
+
+def test_quality_terms_of_long_words():
+    code = "function(a,b){return a_1+b}".replace(" ", "") * 3
+    for word in (code, "x" * 41, "0aB" * 100, "天" * 50 + "。" + "地" * 60, "=" * 90):
+        pieces = Q.pieces_of(word)
+        assert set("".join(pieces)) == set(word) and all(len(p) <= Q.WHOLE for p in pieces)
+        assert all(Q.terms_of("so " + word)["w " + p.lower()] for p in pieces)
+        assert "".join(Q.shapes_of(word)) == "".join(k for i, k in enumerate(map(Q._kind, word)) if not i or k != Q._kind(word[i - 1]))
+
+
 # --- fingerprints
 
 
