@@ -14,6 +14,8 @@ Sets x and y have a Jaccard similarity of at least t only if their overlap is at
    again. A group too large for a task is cut into chunks, and each pair of chunks is a task, after a first round on
    the single chunks with common pivots has connected most of it.
 5. The stars of linked documents make the components.
+6. Where links are to be counted (jaccard_links), step 4 is done once more over all pairs of a candidate group, connected
+   or not; each set there stands for all rows that have it, and only sums of links leave a task.
 
 Hashes only decide which documents meet; in step 4 the sets hold 64-bit hashes of whole shingles (built on 64-bit word
 hashes), so two different shingles would have to collide within one candidate pair to change a result.
@@ -237,17 +239,9 @@ def _sets(words: int, bits: np.ndarray):
     return run
 
 
-def local_links(sets: list[np.ndarray], share: tuple[int, int], side: np.ndarray | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (row numbers) that connect what is connected among some sets; rows of equal `known` are connected already.
-
-    With side, only rows of different sides are compared. Rows are taken by size; each row's overlaps with all others
-    are accumulated over postings, restricted by prefix and size, and only rows not yet connected to it are looked at.
-    """
-    num, den = share
+def _postings(sets: list[np.ndarray], sizes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Shared n-grams by row, rarest first, with each row's place and prefix; rows by n-gram, of all and of prefixes."""
     m = len(sets)
-    sizes = np.asarray([len(s) for s in sets])
-    if m < 2 or not sizes.sum():
-        return []
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(m), sizes)
     _, gram, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -266,7 +260,21 @@ def local_links(sets: list[np.ndarray], share: tuple[int, int], side: np.ndarray
     heads = np.flatnonzero(head)
     by_head = heads[np.argsort(own_gram[heads], kind="stable")]
     head_rows, head_at = own[by_head], np.searchsorted(own_gram[by_head], np.arange(len(count) + 1))
+    return own_gram, in_row, prefix, postings, at, head_rows, head_at
+
+
+def local_links(sets: list[np.ndarray], share: tuple[int, int], side: np.ndarray | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (row numbers) that connect what is connected among some sets; rows of equal `known` are connected already.
 
+    With side, only rows of different sides are compared. Rows are taken by size; each row's overlaps with all others
+    are accumulated over postings, restricted by prefix and size, and only rows not yet connected to it are looked at.
+    """
+    num, den = share
+    m = len(sets)
+    sizes = np.asarray([len(s) for s in sets])
+    if m < 2 or not sizes.sum():
+        return []
+    own_gram, in_row, prefix, postings, at, head_rows, head_at = _postings(sets, sizes, share)
     parent = np.arange(m)
     if known is not None:
         first: dict[int, int] = {}
@@ -299,6 +307,88 @@ def local_links(sets: list[np.ndarray], share: tuple[int, int], side: np.ndarray
     return links
 
 
+def link_counts(sets: list[np.ndarray], share: tuple[int, int], copies: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For each of some different sets the sum of copies over all others that it is linked with (of the other side)."""
+    num, den = share
+    m = len(sets)
+    sizes = np.asarray([len(s) for s in sets])
+    found = np.zeros(m, np.int64)
+    if m < 2 or not sizes.sum():
+        return found
+    own_gram, in_row, prefix, postings, at, head_rows, head_at = _postings(sets, sizes, share)
+    for i in range(m):
+        front = own_gram[in_row[i] : in_row[i] + prefix[i]]
+        if not len(front):
+            continue
+        met = np.unique(np.concatenate([head_rows[head_at[g] : head_at[g + 1]] for g in front]))
+        met = met[(met != i) & (num * np.maximum(sizes[met], sizes[i]) <= den * np.minimum(sizes[met], sizes[i]))]
+        if side is not None:
+            met = met[side[met] != side[i]]
+        if not len(met):
+            continue
+        if len(met) <= 4:
+            overlap = np.asarray([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in met])
+        else:
+            all_rows = np.concatenate([postings[at[g] : at[g + 1]] for g in own_gram[in_row[i] : in_row[i + 1]]])
+            overlap = np.bincount(all_rows, minlength=m)[met]
+        found[i] = copies[met[den * overlap >= num * (sizes[i] + sizes[met] - overlap)]].sum()
+    return found
+
+
+def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with the two hashes that step 1 gives them."""
+    for b in batches:
+        sets = b.column("grams")
+        values, bounds = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(v), dtype=np.uint64)]) for v in (values, values ^ _M1)]
+        h1, h2 = ((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(h1), pa.array(h2), sets], names=["id", "n", "h1", "h2", "grams"])
+
+
+def _count_links(share: tuple[int, int]):
+    """Step 6, by task: rows come sorted by task; the links of each set that has any."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        sides = np.asarray([r[4] for r in rows])
+        found = link_counts([r[5] for r in rows], share, np.asarray([r[3] for r in rows]), None if (sides == 0).all() else sides)
+        has = np.flatnonzero(found)
+        keys = [pa.array([rows[k][c] for k in has], pa.int64()) for c in range(3)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(found[has])], names=["n", "h1", "h2", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            sets = b.column("grams")
+            values, bounds = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            columns = [b.column(c).to_pylist() for c in ("comp", "a", "b", "n", "h1", "h2", "copies", "side")]
+            for k, (comp, x, y, *row) in enumerate(zip(*columns, strict=True)):
+                if (comp, x, y) != now:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    now, rows = (comp, x, y), []
+                rows.append((*row, values[bounds[k] : bounds[k + 1]].copy()))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    return run
+
+
+def _links_of(sets: DataFrame, alike: DataFrame, groups: DataFrame, share: tuple[int, int], task: int) -> DataFrame:
+    """n, h1, h2 of a set and its links with rows of other sets. All pairs of chunks of a group are tasks."""
+    keyed = sets.mapInArrow(_set_hashes, "id long, n long, h1 long, h2 long, grams array<bigint>")
+    keyed = keyed.join(alike.select(F.col("rep").alias("id"), "n", "h1", "h2", "copies"), ["id", "n", "h1", "h2"]).dropDuplicates(["id", "n", "h1", "h2"])
+    placed = written(sets.sparkSession, keyed.join(groups, "id"), "placed")
+    weights = placed.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
+    chunks = F.when(F.col("weight") <= task, 1).otherwise(F.ceil(F.col("weight") * 2 / task)).cast("int")
+    rows = placed.join(weights, "comp").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "h1", "h2"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
+    rows = rows.withColumn("side", F.when(F.col("a") == F.col("b"), 0).when(F.col("chunk") == F.col("a"), 1).otherwise(2))
+    key = ["comp", "a", "b"]
+    tasks = rows.select(*key, "n", "h1", "h2", "copies", "side", "grams").repartition(*key).sortWithinPartitions(*key)
+    found = tasks.mapInArrow(_count_links(share), "n long, h1 long, h2 long, links long")
+    return written(sets.sparkSession, found.groupBy("n", "h1", "h2").agg(F.sum("links").alias("links")), "counted")
+
+
 def _join(share: tuple[int, int]):
     """Step 4, by task: rows come sorted by task; a task's links leave as stars."""
 
@@ -340,8 +430,16 @@ def _solve(tasks: DataFrame, share: tuple[int, int]) -> DataFrame:
     return order.mapInArrow(_join(share), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int] = (9, 10), task: int = TASK, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); linked at Jaccard >= share[0] / share[1]."""
+def jaccard_links(docs: DataFrame, **parameters) -> DataFrame:
+    """What jaccard_components returns, and n_links: the number of other rows with an id that each row is linked with."""
+    return jaccard_components(docs, count=True, **parameters)
+
+
+def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int] = (9, 10), task: int = TASK, block: int = BLOCK, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); linked at Jaccard >= share[0] / share[1].
+
+    With count, n_links too.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -356,7 +454,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
         .mapInArrow(_sum, "doc_id long, n long, h1 long, h2 long, shared long"),
         "sizes",
     )
-    equal = info.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"))
+    equal = info.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"), *[F.count("*").alias("copies")] * count)
     alike = written(spark, equal, "alike")  # apart from the join below, whose hot keys can then be split
     stay = written(spark, alike.where(f"shared * {share[1]} >= n * {share[0]}").select("rep", "n", "h1", "h2"), "stay")
 
@@ -398,7 +496,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
     linked = same.join(comps, "rep", "left").select("doc_id", F.coalesce("linked", "rep").alias("component_id"))
     by_doc = linked.distinct()
     rest = info.select("doc_id", F.col("n").alias("n_shingles"))
-    return rest.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if count:
+        counted = alike.select("n", "h1", "h2", "copies").join(_links_of(sets, alike, groups, share, task), ["n", "h1", "h2"], "left")
+        n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        rest = info.join(counted, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(n_links, F.lit(0)).alias("n_links"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["n_links"] * count]
+    return rest.join(by_doc, "doc_id", "left").select(*columns)
 
 
 def _large_groups(large: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -440,6 +543,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_links(spark, sf_dir: str) -> DataFrame:
+    return jaccard_links(read(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

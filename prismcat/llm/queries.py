@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe_segment_tree": bpe.op3,
     "op4_mix_sources": mixing.op4,
     "op5_ngram_jaccard": ngram_join.op5,
+    "op5_ngram_links": ngram_join.op5_links,
     "op6_toxicity": toxicity.op6,
     "op7_fingerprints": fingerprints.op7,
     "op8_quality": quality.op8,

@@ -129,6 +129,22 @@ def test_jaccard_equals_brute_force(spark, words, share, task):
     assert got == brute_jaccard(rows, words, *share)
 
 
+@pytest.mark.parametrize("words,share,task", [(3, (9, 10), N.TASK), (5, (8, 10), N.TASK), (3, (8, 10), 400)])
+def test_links_equal_brute_force(spark, words, share, task):
+    rows = texts(words, 260) + [(900, None), (901, ""), (903, "one"), (904, "ONE"), (5, "one"), (5, "one"), (903, "a b c d e f g"), (None, "one")]
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in t or ""))
+        sets.append(set() if i is None else {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    linked = lambda a, b: bool(a and b) and len(a & b) * share[1] >= len(a | b) * share[0]
+    want = sorted((str(i), sum(linked(a, b) for j, b in enumerate(sets) if j != k)) for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = N.jaccard_links(df, words=words, share=share, task=task)
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got.collect()) == want and any(n > 1 for _, n in want)
+    parts = N.jaccard_components(df, words=words, share=share, task=task)
+    assert sorted(map(str, got.select(*parts.columns).collect())) == sorted(map(str, parts.collect()))
+
+
 def test_jaccard_odd_rows(spark):
     long = " ".join(f"v{k}" for k in range(30))
     rows = [(7, long), (7, long), (3, long), (8, "p q r s"), (8, long), (9, "P q r S"), (None, long)]
