@@ -18,12 +18,14 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismcat.llm.common import ascii_lower, read
+from prismcat.llm.common import ascii_lower, read, written
 
 #: (verdict, rule): host up to the first "/", then the start of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: The trees are fitted on at most so many labelled URLs, the first by hash.
 SAMPLE = 20_000
+#: Statistics of at most so many suffixes are broadcast; more are joined by shuffle.
+SUFFIXES = 100_000
 TREES, DEPTH, STEP, SEED = 12, 4, 0.3, 11
 FEATURES = ("f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_fragment", "f_hyphens", "f_suffix_rate", "f_suffix_log")
 _OWN = ("host", "path", "rule", "verdict", "block_score")
@@ -98,23 +100,18 @@ def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, s
     by_rule = F.lit(None).cast("string") if verdict is None else F.element_at(verdict, F.col("rule"))
     judged = judged.withColumn("verdict", by_rule)
     full = with_features(judged)
-    labelled = (
-        judged.where(F.col("rule").isNotNull())
-        .select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-        .distinct()
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(sample)
-    )
+    every = judged.where(F.col("rule").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
+    labelled = every.orderBy(F.xxhash64("url"), "url").limit(sample)
     fitted = with_features(labelled).select("label", "_suffix", *FEATURES[:-2]).cache()
     try:
-        # Suffix statistics: share of blocked URLs (smoothed) and log count; at most one row per sampled URL.
-        suffixes = [
-            (r["_suffix"], (r["b"] + 1.0) / (r["n"] + 2.0), float(r["n"]))
-            for r in fitted.groupBy("_suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n")).orderBy("_suffix").collect()
-        ]
+        # Suffix statistics of all labelled URLs: share of blocked ones (smoothed) and log count.
         spark = pages.sparkSession
+        by_suffix = every.groupBy(F.substring_index("host", ".", -1).alias("_suffix")).agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
+        rate = (F.col("_b") + 1.0) / (F.col("_n") + 2.0)
+        stats = written(spark, by_suffix.select("_suffix", rate.alias("f_suffix_rate"), F.log1p(F.col("_n").cast("double")).alias("f_suffix_log")), "suffixes")
+        if stats.count() <= SUFFIXES:
+            stats = F.broadcast(stats)
         kinds = {r["label"] for r in fitted.select("label").distinct().collect()}
-        stats = F.broadcast(spark.createDataFrame(suffixes, "_suffix string, f_suffix_rate double, _n double").withColumn("f_suffix_log", F.log1p("_n")).drop("_n"))
         join = lambda df: df.join(stats, "_suffix", "left").fillna({"f_suffix_rate": 0.5, "f_suffix_log": 0.0})
         if len(kinds) < 2:
             margin = F.lit(1.0 if kinds == {1.0} else -1.0)

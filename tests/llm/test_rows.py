@@ -106,6 +106,14 @@ def test_trees_learn_the_rules(spark, data):
     assert free and all(0 <= r["block_score"] <= 1 for r in free)
 
 
+def test_suffixes_are_counted_over_all_labelled_urls(spark):
+    ends = [f"{kind}{chr(97 + k // 6)}{chr(97 + k % 6)}" for kind in "ab" for k in range(30)]
+    rules = [("block" if e[0] == "b" else "allow", f"host.{e}/x") for e in ends]
+    pages = spark.createDataFrame([(f"http://host.{e}/x/{k}",) for e in ends for k in range(10, 50)] + [(f"http://host.{e}/y/10",) for e in ends], "url string")
+    free = U.filter_urls(pages, rules=rules, sample=60).where("rule is null").collect()
+    assert len(free) == 60 and all(r["verdict"] == ("block" if r["host"][5] == "b" else "allow") for r in free)
+
+
 def test_no_python_in_native_plans(spark, data):
     for name in ("op4_mix_sources", "op9_url_filter"):
         plan = QUERIES[name](spark, data("sf0.001"))._jdf.queryExecution().executedPlan().toString()
