@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -43,10 +44,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set in its place.
+    Where it is unset, a session on one machine gets a temporary folder, which is set in its place; on a cluster that
+    is an error, since executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="prismcat-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -102,12 +106,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> list[tuple[str, int]]:
-    """At most `bound` (text, label) pairs of the rows for which `keep` holds, brought to the driver.
+#: A labelled sample brings at most so many bytes of text to the driver, and the first row in any case.
+SAMPLE_BYTES = 48_000_000
 
-    The sample is the `bound` smallest rows by hash of the id, so reruns agree and the bound alone decides how
-    much reaches the driver. An id with several labels takes the largest; null ids, labels and texts teach
-    nothing; copies of a text count once and take their most frequent label (ties: 1).
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, limit: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most `bound` (text, label) pairs, of `limit` bytes, of the rows for which `keep` holds, brought to the driver.
+
+    The sample is the `bound` smallest rows by hash of the id, then as many of them by hash of the text as the limit
+    allows, so reruns agree and the bounds alone decide how much reaches the driver. An id with several labels takes the
+    largest; null ids, labels and texts teach nothing; copies of a text count once and take their most frequent label
+    (ties: 1).
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -123,11 +132,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
         .join(F.broadcast(chosen), "_id")  # at most `bound` rows
         .where(F.col("_text").isNotNull())
-        .groupBy(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_n"))
+        .groupBy(F.xxhash64("_text").alias("_h"), F.octet_length("_text").alias("_n"))
         .agg(F.min("_text").alias("text"), F.avg("_y").alias("y"))
-        .orderBy("_h", "_n")
-        .limit(bound)
-        .select("text", (F.col("y") >= 0.5).cast("int").alias("y"))
-        .collect()
+        .select("_h", "_n", "text", (F.col("y") >= 0.5).cast("int").alias("y"))
     )
-    return [(r.text, r.y) for r in rows]
+    kept = written(docs.sparkSession, rows, "sample")
+    sizes = kept.select("_h", "_n").orderBy("_h", "_n").limit(bound).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["_n"]
+        if last is not None and total > limit:
+            break
+        last = r
+    if last is None:
+        return []
+    upto = F.struct("_h", "_n") <= F.struct(F.lit(last["_h"]).cast("long").alias("_h"), F.lit(last["_n"]).cast("int").alias("_n"))
+    return [(r["text"], r["y"]) for r in kept.where(upto).orderBy("_h", "_n").select("text", "y").collect()]

@@ -143,24 +143,89 @@ def test_toxicity_held_out(spark, data):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("leave", [False, True])
+def test_block_max_index_is_exact(leave):
     rng = random.Random(10)
-    for k in (1, 5, 40):
+    for k, n in ((1, 300), (5, 1500), (40, 700)):
         vectors = []
-        for _ in range(300):
-            v = {rng.randrange(25): rng.random() + 0.1 for _ in range(rng.randint(0, 5))}
-            n = sum(w * w for w in v.values()) ** 0.5
-            vectors.append({t: w / n for t, w in v.items()})
-        index = X.BlockMaxIndex(vectors, 25)
-        for q in vectors[:60]:
-            if not q:
-                continue
-            sims = {i: sum(w * v.get(t, 0) for t, w in q.items()) for i, v in enumerate(vectors)}
+        for _ in range(n):
+            v = {min(rng.randrange(90), rng.randrange(90)): rng.random() + 0.1 for _ in range(rng.randint(0, 6))}
+            norm = sum(w * w for w in v.values()) ** 0.5
+            vectors.append({t: w / norm for t, w in v.items()})
+        flat = [(i, t, w) for i, v in enumerate(vectors) for t, w in sorted(v.items())]
+        row, term, weight = (np.asarray(x) for x in zip(*flat))
+        index = X.BlockMaxIndex(row, term, weight, n, 90)
+        assert 0 < len(index.dense) < 90
+        few = row < 60
+        doc, found, product = index.nearest(row[few], term[few], weight[few], 60, k, np.arange(60) if leave else None)
+        for q in range(60):
+            sims = {i: sum(w * v.get(t, 0) for t, w in vectors[q].items()) for i, v in enumerate(vectors) if not leave or i != q}
             ranked = sorted((s for s in sims.values() if s > 0), reverse=True)
-            least = ranked[min(k, len(ranked)) - 1]
-            ids, found = index.nearest(q, k)
-            assert set(ids.tolist()) == {i for i, s in sims.items() if s > 0 and s >= least - 1e-12}
-            assert all(abs(sims[i] - s) < 1e-9 for i, s in zip(ids.tolist(), found))
+            least = ranked[min(k, len(ranked)) - 1] if ranked else 1
+            own = doc == q
+            assert set(found[own].tolist()) == {i for i, s in sims.items() if s > 0 and s >= least - 1e-12}
+            assert all(abs(sims[i] - s) < 1e-9 for i, s in zip(found[own].tolist(), product[own]))
+
+
+def test_toxicity_words():
+    assert [w.decode() for w in X.words_of("It's «Über»-cool… x²\u3000終わり。2nd")] == ["it", "s", "über", "cool", "x", "終わり", "nd"]
+    assert X.words_of(None) == X.words_of(" 12 ?!") == []
+    assert X.terms_of(b"idiots") == [b"idiots", b"^idiot"] and X.terms_of(b"of") == [b"of"]
+    assert len(X.terms_of(b"x" * 100_000)) == 100_000 - X.WINDOW + 1
+
+
+def test_toxicity_equals_brute_force(spark, data):
+    """Scores, neighbours and evidence of every document, from all cosines with all labelled examples."""
+    import math
+    import zlib
+    from collections import Counter
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data('sf0.001')}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data('sf0.001')}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    taught = {}
+    for i, y in labels.items():
+        if docs.get(i) is not None:
+            taught.setdefault(docs[i], []).append(y)
+    sample = [(t, int(2 * sum(y) >= len(y))) for t, y in taught.items()]
+    terms = lambda text: Counter(t for w in X.words_of(text) for t in X.terms_of(w))
+    counts, n, toxic = [terms(t) for t, _ in sample], len(sample), sum(y for _, y in sample)
+    df, a = Counter(t for c in counts for t in c), Counter(t for c, (_, y) in zip(counts, sample) if y for t in c)
+
+    def factor(t):
+        below = df[t] * (n - df[t]) * toxic * (n - toxic)
+        chi = n * (a[t] * n - df[t] * toxic) ** 2 / below if below else 0.0
+        return (math.log((1 + n) / (1 + df[t])) + 0.05) * (X.FLOOR + min(1.0, chi / X.LEVEL))
+
+    def unit(c):
+        v = {t: (1 + math.log(k)) * factor(t) for t, k in c.items() if t in df}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()}
+
+    vectors = [unit(c) for c in counts]
+
+    def vote(v, leave=None):
+        sims = sorted(((sum(w * e.get(t, 0.0) for t, w in v.items()), j) for j, e in enumerate(vectors) if j != leave), reverse=True)
+        sims = [s for s in sims if s[0] > 1e-15]
+        near = [s for s in sims if s[0] >= sims[min(X.NEIGHBOURS, n - 1 if leave is not None else n, len(sims)) - 1][0] - 1e-12]
+        return (sum(s**X.POWER * sample[j][1] for s, j in near) / sum(s**X.POWER for s, _ in near) if near else -1.0), near
+
+    at, value = X.isotonic(np.asarray([vote(v, j)[0] for j, v in enumerate(vectors)]), np.asarray([float(y) for _, y in sample]))
+    got = {r["doc_id"]: r for r in QUERIES["op6_toxicity"](spark, data("sf0.001")).collect()}
+    assert got.keys() == docs.keys()
+    silent = 0
+    for i, text in docs.items():
+        v = unit(terms(text))
+        share, near = vote(v)
+        if not near:
+            silent += 1
+            assert got[i]["evidence"] == []
+            continue
+        assert got[i]["score"] == pytest.approx(float(np.interp(share, at, value)), abs=1e-9)
+        assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx([s for s, _ in near[: X.SHOWN]])
+        for e in got[i]["evidence"]:
+            known = [t.decode("utf-8", "ignore") for t in v]
+            assert 0 < len(e["words"]) <= X.WORDS and set(e["words"]) <= set(known)
+    assert silent < 0.05 * len(docs)
 
 
 def test_isotonic():
