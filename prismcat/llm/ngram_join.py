@@ -11,8 +11,10 @@ Sets x and y have a Jaccard similarity of at least t only if their overlap is at
    Meetings are kept as stars, never as pairs, and connect documents to candidate groups.
 4. Each candidate group is a sparse product in one task: overlap counts of a row with all others are accumulated from
    the postings of its n-grams, pairs out of the size bounds are left out, and rows already connected are not compared
-   again. A group too large for a task is cut into chunks, and each pair of chunks is a task, after a first round on
-   the single chunks with common pivots has connected most of it.
+   again. A group of more than a few rows is cut into bands of size, so that partners are in the same or the next band,
+   and those into chunks, spread over tasks. A first round on the single chunks with common pivots connects most of a
+   group of near copies; each row that is not with the group's main part then visits the chunks that hold a row with one
+   of its rarest n-grams, and no others.
 5. The stars of linked documents make the components.
 6. Where links are to be counted (jaccard_links), step 4 is done once more over all pairs of a candidate group, connected
    or not; each set there stands for all rows that have it, and only sums of links leave a task.
@@ -28,6 +30,7 @@ are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +49,15 @@ from prismcat.llm.pieces import slices
 SLICE = 3_000_000
 #: A block of step 1 is meant to hold so many n-grams.
 BLOCK = 6_000_000
+#: So many bytes of text are taken for an n-gram when the number of blocks is chosen.
+WORD_BYTES = 6
 #: More blocks than this there are not; beyond, they grow.
 BLOCKS = 100_000
-#: A task of step 4 holds at most about so many n-grams.
-TASK = 4_000_000
-#: Documents of an oversized group that every chunk is compared with first.
+#: A task of step 4 holds at most about so many n-grams and so many documents.
+TASK, TASK_ROWS = 1_000_000, 64
+#: A task of step 6, which meets all pairs of chunks, holds so many n-grams.
+PAIRS_TASK = 4_000_000
+#: Documents of a band of an oversized group that every chunk of it is compared with first.
 PIVOTS = 16
 #: Bits of the filter that spares the second pass the sets of documents that have left.
 FILTER_BITS = 1 << 25
@@ -435,16 +442,17 @@ def jaccard_links(docs: DataFrame, **parameters) -> DataFrame:
     return jaccard_components(docs, count=True, **parameters)
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int] = (9, 10), task: int = TASK, block: int = BLOCK, count: bool = False) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, words: int = 3, share: tuple[int, int] = (9, 10), task: int = TASK, rows: int = TASK_ROWS, block: int = BLOCK, pairs: int = PAIRS_TASK, count: bool = False
+) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text); linked at Jaccard >= share[0] / share[1].
 
     With count, n_links too.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size > 1 << 50 else size  # no estimate
-    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BLOCKS, size // (4 * block)))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BLOCKS, size // (WORD_BYTES * block)))
     info = written(
         spark,
         texts.mapInArrow(_deal(words, blocks), _ROWS)
@@ -479,15 +487,19 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
     meetings = ahead.join(centres, "gram").where("id <> centre").select("id", "centre").distinct()
     groups = connected_components(meetings).withColumnRenamed("component", "comp")
 
-    placed = sets.join(groups, "id")
-    weights = placed.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
-    placed = placed.join(weights, "comp").withColumn("chunks", F.ceil(F.col("weight") * 2 / task).cast("int"))
-    zero, nothing = F.lit(0), F.lit(None).cast("long")
-    small = placed.where(F.col("weight") <= task).select("comp", zero.alias("a"), zero.alias("b"), "id", "grams", zero.alias("side"), nothing.alias("known"))
+    # Linked sets are in the same band or in neighbouring ones: a band is as wide as the size bound, and a little more.
+    width = math.log(share[1] / share[0]) * (1 + 1e-9) if share[0] < share[1] else 1.0
+    placed = sets.join(groups, "id").withColumn("band", F.floor(F.log("n") / width).cast("long"))
+    bands = placed.groupBy("comp", "band").agg(F.sum("n").alias("weight"), F.count("*").alias("many"))
+    bands = bands.withColumn("chunks", F.greatest(F.ceil(F.col("weight") * 2 / task), F.ceil(F.col("many") / rows)).cast("int"))
+    whole = bands.groupBy("comp").agg(F.sum("weight").alias("weight"), F.sum("many").alias("many")).where("many > 1")
+    bands = written(spark, bands.join(whole.select("comp", ((F.col("weight") <= task) & (F.col("many") <= rows)).alias("fits")), "comp"), "bands")
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
+    small = placed.join(bands.where("fits").select("comp").distinct(), "comp").select("comp", zero.alias("a"), zero.alias("b"), "id", "grams", zero.alias("side"), nothing.alias("known"))
     links = written(spark, _solve(small, share), "links")
-    large = placed.where(F.col("weight") > task)
+    large = bands.where("not fits").select("comp", "band", "chunks")
     if large.head(1):
-        links = links.unionByName(_large_groups(large, share))
+        links = links.unionByName(_large_groups(placed, large, ahead, share, rows))
     same = info.where("n > 0 and doc_id is not null").join(alike.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "rep")
     # Different texts under one doc_id are one document: their representatives are linked through the id.
     several = same.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
@@ -497,46 +509,71 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, share: tuple[int, int
     by_doc = linked.distinct()
     rest = info.select("doc_id", F.col("n").alias("n_shingles"))
     if count:
-        counted = alike.select("n", "h1", "h2", "copies").join(_links_of(sets, alike, groups, share, task), ["n", "h1", "h2"], "left")
+        counted = alike.select("n", "h1", "h2", "copies").join(_links_of(sets, alike, groups, share, pairs), ["n", "h1", "h2"], "left")
         n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
         rest = info.join(counted, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(n_links, F.lit(0)).alias("n_links"))
     columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["n_links"] * count]
     return rest.join(by_doc, "doc_id", "left").select(*columns)
 
 
-def _large_groups(large: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links of groups too large for one task: chunks with common pivots first, then what is left against all chunks."""
-    spark = large.sparkSession
-    chunk = F.pmod(F.xxhash64(F.lit(3), "id", "n"), F.col("chunks")).cast("int")
-    rows = large.withColumn("chunk", chunk)
-    zero, nothing = F.lit(0), F.lit(None).cast("long")
-    pivots = rows.withColumn("r", F.row_number().over(W.partitionBy("comp").orderBy(F.xxhash64(F.lit(4), "id"), "id", "n"))).where(F.col("r") <= PIVOTS)
-    visiting = pivots.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("a <> chunk")
-    columns = lambda a, b, side, known: ["comp", a.alias("a"), b.alias("b"), "id", "grams", side.alias("side"), known.alias("known")]
-    first = rows.select(*columns(F.col("chunk"), F.lit(-1), zero, nothing)).unionByName(visiting.select(*columns(F.col("a"), F.lit(-1), zero, nothing)))
+def _large_groups(placed: DataFrame, bands: DataFrame, ahead: DataFrame, share: tuple[int, int], limit: int) -> DataFrame:
+    """Links of groups too large for one task, as stars.
+
+    placed: comp, band, id, n, grams; bands: comp, band, chunks of the large groups; ahead: gram, id of each document's
+    rarest n-grams. No step has a task, a window or an aggregate that a whole group must pass through.
+    """
+    spark = placed.sparkSession
+    chunk = F.pmod(F.xxhash64(F.lit(3), "id", "n"), F.col("chunks")).cast("long")
+    rows = written(spark, placed.join(bands, ["comp", "band"]).withColumn("chunk", chunk).select("comp", "band", "chunk", "chunks", "id", "n", "grams"), "chunks")
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
+    place = F.col("band") * (1 << 40) + F.col("chunk")
+    columns = ["comp", "a", "b", "id", "grams", "side", "known"]
+    # Pivots: some candidates of each chunk, then the first of them by hash.
+    light = rows.select("comp", "band", "chunk", "chunks", "id", "n")
+    candidate = F.min(F.struct(F.xxhash64(F.lit(4), "id", "n").alias("h"), "id", "n")).alias("p")
+    candidates = light.groupBy("comp", "band", "chunk", F.pmod(F.xxhash64(F.lit(5), "id", "n"), F.lit(4)).alias("quarter")).agg(candidate)
+    ranked = candidates.withColumn("r", F.row_number().over(W.partitionBy("comp", "band").orderBy("p")))
+    pivots = ranked.where(F.col("r") <= PIVOTS).select("comp", F.col("band").alias("home"), F.col("chunk").alias("own"), "p.id", "p.n")
+    # at most PIVOTS rows a band, so this is small beside the rows themselves
+    near = pivots.withColumn("band", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1))).join(bands, ["comp", "band"])
+    near = near.withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks").cast("long") - 1))).where("band <> home or chunk <> own")
+    visiting = near.select("comp", "band", "chunk", "id", "n").join(rows.select("id", "n", "grams"), ["id", "n"])
+    both = rows.select("comp", "band", "chunk", "id", "grams").unionByName(visiting.select("comp", "band", "chunk", "id", "grams"))
+    first = both.select("comp", place.alias("a"), zero.alias("b"), "id", "grams", zero.alias("side"), nothing.alias("known"))
     links = written(spark, _solve(first, share), "links")
-    now = rows.join(connected_components(links), "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
-    sizes = now.groupBy("comp", "known").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("comp").agg(F.max_by("known", F.struct("size", -F.col("known"))).alias("main"))
-    now = written(spark, now.join(main, "comp"), "chunks")
-    # Documents outside the main part meet every chunk; two of them meet in the task of the smaller chunk's left-overs.
-    left = now.where("known <> main").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    waiting = now.where("known <> main").select("comp", F.col("chunk").alias("a")).distinct()
-    hosts = now.join(waiting, "comp")
-    one, two = F.lit(1), F.lit(2)
-    second = left.select(*columns(F.col("chunk"), F.col("b"), one, F.col("known"))).unionByName(hosts.select(*columns(F.col("a"), F.col("chunk"), two, F.col("known"))))
-    return links.unionByName(written(spark, _solve(second, share), "links"))
+    now = written(spark, light.join(connected_components(links), "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component"), "known")
+    main = now.groupBy("comp", "known").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("known", F.struct("size", -F.col("known"))).alias("main"))
+    left = written(spark, now.join(main, "comp").where("known <> main").select("comp", "band", "id", "n", "known"), "left")
+    if not left.head(1):
+        return links
+    # Linked documents share one of their rarest n-grams, so a row need only visit the chunks where one of its own is.
+    open_groups = left.select("comp").distinct()
+    holders = now.join(open_groups, "comp").join(ahead, "id").select("gram", F.col("band").alias("at"), "chunk").distinct()
+    met = left.join(ahead, "id").join(holders, "gram").where("at between band - 1 and band + 1")
+    visits = written(spark, met.select("comp", F.col("at").alias("band"), "chunk", "id", "n", "known").distinct(), "visits")
+    tables = visits.groupBy("comp", "band", "chunk").agg(F.ceil(F.count("*") / limit).cast("long").alias("parts"))
+    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    guests = visits.join(tables, ["comp", "band", "chunk"]).withColumn("b", F.pmod(F.xxhash64(F.lit(6), "id", "n"), F.col("parts"))).drop("parts")
+    guests = guests.join(rows.select("id", "n", "grams"), ["id", "n"]).withColumns({"a": place, "side": one}).select(*columns)
+    hosts = rows.join(tables, ["comp", "band", "chunk"]).withColumn("b", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    hosts = hosts.join(now.select("id", "n", "known").distinct(), ["id", "n"]).withColumns({"a": place, "side": two}).select(*columns)
+    return links.unionByName(written(spark, _solve(guests.unionByName(hosts), share), "links"))
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (8, 10)) -> DataFrame:
     """docs without near copies: of each group of linked documents the one with the smallest doc_id stays.
 
-    All rows of that doc_id stay, and so do documents without words and rows without an id, which link with nothing.
+    Rows that repeat both doc_id and text are one document. Documents without words and rows without an id link with
+    nothing, so all of them stay.
     """
     groups = jaccard_components(docs, words=words, share=share)
     gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return stay
+    again = written(docs.sparkSession, docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.head(1):
+        return stay
+    once = stay.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(stay.join(again, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,17 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else np.zeros(0)
         self.entries = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
+    def __getstate__(self) -> dict:
+        """Travels with the full rows as sparse ones."""
+        at = np.flatnonzero(self.dense)
+        return self.__dict__ | {"dense": (self.dense.shape, at.astype(np.int32), self.dense.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["dense"]
+        self.__dict__ |= state
+        self.dense = np.zeros(shape)
+        self.dense.ravel()[at] = values
+
     def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_docs: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, row, product) of the rows with a positive product that are as near as the document's k-th; leave: a row to skip for each."""
         nb, n = self.blocks, self.blocks * BLOCK

@@ -121,11 +121,11 @@ def texts(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("words,share,task", [(3, (9, 10), N.TASK), (5, (8, 10), N.TASK), (3, (8, 10), 400)])
-def test_jaccard_equals_brute_force(spark, words, share, task):
+@pytest.mark.parametrize("words,share,task,few", [(3, (9, 10), N.TASK, 64), (5, (8, 10), N.TASK, 3), (3, (8, 10), 400, 64), (3, (1, 1), 400, 2)])
+def test_jaccard_equals_brute_force(spark, words, share, task, few):
     rows = texts(words, 260) + [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, "a\x85b a\u2003b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash")).repartition(5)
-    got = sorted(tuple(r) for r in N.jaccard_components(df, words=words, share=share, task=task).collect())
+    got = sorted(tuple(r) for r in N.jaccard_components(df, words=words, share=share, task=task, rows=few).collect())
     assert got == brute_jaccard(rows, words, *share)
 
 
@@ -139,12 +139,30 @@ def test_links_equal_brute_force(spark, words, share, task):
     linked = lambda a, b: bool(a and b) and len(a & b) * share[1] >= len(a | b) * share[0]
     want = sorted((str(i), sum(linked(a, b) for j, b in enumerate(sets) if j != k)) for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = N.jaccard_links(df, words=words, share=share, task=task)
+    got = N.jaccard_links(df, words=words, share=share, task=task, pairs=task)
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in got.collect()) == want and any(n > 1 for _, n in want)
     parts = N.jaccard_components(df, words=words, share=share, task=task)
     assert sorted(map(str, got.select(*parts.columns).collect())) == sorted(map(str, parts.collect()))
 
 
+@pytest.mark.parametrize("few", [5, 16])
+def test_one_large_group_of_near_copies(spark, few):
+    """A group cut into many chunks: copies of one text that drift, so that its ends are linked only through others."""
+    rng = random.Random(21)
+    words, rows = [f"u{k}" for k in range(120)], []
+    for i in range(160):
+        if i % 4 == 0:  # the chain drifts on
+            k = rng.randrange(len(words))
+            words[k : k + 1] = [f"n{i}"] * rng.randint(0, 2)
+        own = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in N.jaccard_components(df, rows=few).collect())
+    assert got == brute_jaccard(rows, 3, 9, 10) and len({c for _, _, c in got}) < 100
+
+
 def test_jaccard_odd_rows(spark):
     long = " ".join(f"v{k}" for k in range(30))
     rows = [(7, long), (7, long), (3, long), (8, "p q r s"), (8, long), (9, "P q r S"), (None, long)]
@@ -156,8 +174,10 @@ def test_jaccard_odd_rows(spark):
 def test_keep_one(spark):
     rows = texts(11, 120)
     df = spark.createDataFrame([(i, t, f"s{i}") for i, t in rows], "doc_id long, text string, source string")
-    kept = {r["doc_id"] for r in N.keep_one(df).collect()}
-    assert kept == {i for i, n, c in brute_jaccard(rows, 5, 8, 10) if n == 0 or i == c}
+    want = {i for i, n, c in brute_jaccard(rows, 5, 8, 10) if n == 0 or i == c}
+    assert {r["doc_id"] for r in N.keep_one(df).collect()} == want
+    again = N.keep_one(df.unionByName(df).unionByName(spark.createDataFrame([(None, "a text", "s"), (None, "a text", "s")], df.schema))).collect()
+    assert sorted(str(r["doc_id"]) for r in again) == sorted([*map(str, want), "None", "None"])
 
 
 def test_local_links_with_sides():
