@@ -401,6 +401,64 @@ def test_words_of_a_wrapper_do_not_decide(page, text):
     assert H.main_text(page) == text
 
 
+INSIDE = [
+    ("<article><h2 id='related-work'>Related work</h2><p>x</p></article>", "Related work x"),
+    ("<article><section id='legal-history'><p>x</p></section><p class='search-term'>y</p><h2 id='comments-on-the-law'>z</h2></article>", "x y z"),
+    ("<article><h2 class='menu'>Menu</h2><section id='comments'><p>On comments.</p></section><p id='ad'>y</p><span class='notice'>z</span></article>", "Menu On comments. y z"),
+    ("<article><p>a</p><figure><svg viewBox='0 0 1 1' /></figure><p>rest</p></article>", "a rest"),
+    ("<article><p>a</p><aside>s</aside><div>Body text.</div><aside>t</aside><p>b</p></article>", "a Body text. b"),
+    ("<article><div class='ad'>x</div><div>One sentence.</div><div class='ad'>y</div></article>", "One sentence."),
+    ("<article><nav>n</nav><p>a</p><nav>n</nav><div>b</div><footer>f</footer></article>", "a b"),
+    ("<article><div class='reader-comments'><p>c</p></div><div class='cookie-notice'>d</div><ul class='share-buttons'><li>e</ul><div id='sidebar'>f</div><div class='advert'>g</div><div class='commentary'>h</div></article>", "h"),
+    ("<title>t<article><p>a</p></article>", "a"),
+    ("<article><p>a</p><textarea>no<p>b</p></article>", "a b"),
+    ("<article><noscript><p>no</p></article><p class='ad'>x</p>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", INSIDE)
+def test_text_inside_an_article_stays(page, text):
+    assert H.main_text(page) == text
+
+
+DEEP = ["<div>word ", "<p><b>word ", "<h1>word ", "<b>word ", "<li>word ", "<td>word ", "<x>word ", "<a>word</b> ", "<i><p><b>word</i> ", "<svg><g>word ", "<ul><li>word ", "</p>word ", "<video>word ", "<article><aside>word</aside>word "]
+
+
+@pytest.mark.parametrize("piece", DEEP)
+def test_deep_and_unclosed_nesting_is_linear(piece):
+    import time
+    import tracemalloc
+
+    def took(n):
+        began = time.process_time()
+        H.main_text("<article>" + piece * n + "</article>")
+        return time.process_time() - began
+
+    took(500)
+    small, large = min(took(4000) for _ in range(2)), took(40_000)
+    assert large < 30 * small + 0.5
+    tracemalloc.start()
+    H.main_text("<article>" + piece * 10_000)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_a_hundred_thousand_nested_elements():
+    assert H.main_text("<article>" + "<div>w " * 100_000) == " ".join("w" * 100_000)
+
+
+def test_the_classifier_is_fitted():
+    """The labels are those of the elements; what is learned decides about blocks that no element names."""
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    # here boilerplate is long and unlinked, and articles are made of short lines
+    odd = [f"<footer>{line(60)}.</footer><article>" + "".join(f"<div>{line(2)}</div>" for _ in range(4)) + "</article>" for _ in range(80)]
+    usual = [f"<footer>{line(2)}</footer><article><p>{line(60)}.</p></article>" for _ in range(80)]
+    block = H.blocks_of(f"<div>{line(60)}.</div>")[0]
+    assert np.dot(H.fit_costs(odd), H.features(block)) < 0 < np.dot(H.fit_costs(usual), H.features(block))
+    assert (H.fit_costs([]) == H.START).all() and (H.fit_costs(["<p>x", None]) == H.START).all()
+
+
 def test_pages_equal_their_article(spark, data):
     import html
 
