@@ -2,14 +2,15 @@
 
 A document's terms are its words, the shapes of its words and a few marks of how it repeats itself. Words over 40 characters,
 as in scripts without spaces or packed code, count as their pieces, so all of a text counts. The labelled sample
-gives vocabulary, inverse document frequencies and, by a randomised truncated SVD of its TF-IDF matrix, the latent
-axes. All this is bounded by parameters and broadcast. Each document is projected, compared with every labelled vector
-by exact cosine, block by block, and scored by the labels of its nearest neighbours, weighted by similarity; all
-neighbours as near as the k-th vote, so ties cannot depend on an order.
-
-Defined results: a null, empty or blank text, and one whose terms are all unknown, has a zero vector and gets the prior
-(the share of label 1 in the sample; 0.5 without any labels); repeated rows get the same score; an empty table gives an
-empty result; further columns pass through, those named held_out, score or predicted are replaced.
+gives vocabulary (every term that two of its documents have), inverse document frequencies and, by a randomised truncated
+SVD of its sparse TF-IDF matrix, the latent axes. The sample is bounded by parameters, and the model is broadcast. Each
+document is projected, compared with every labelled vector by exact cosine, block by block, and scored by the labels of
+its nearest neighbours, weighted by similarity; all neighbours as near as the k-th vote, so ties cannot depend on an order.
+
+Defined results: a null, empty or blank text has no quality and the score 0; one whose terms are all unknown has a zero
+vector and gets the prior (the share of label 1 in the sample; 0.5 without any labels, in which case that is every other
+text's score); repeated rows get the same score; an empty table gives an empty result; further columns pass through,
+those named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain
 from sys import intern
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
+from prismcat.llm.pieces import slices
 
-#: Bounds of the model: labelled documents, terms, latent axes.
-SAMPLE, TERMS, AXES = 3000, 4000, 64
+#: Labelled documents that the model learns from, and latent axes.
+SAMPLE, AXES = 3000, 64
 NEIGHBOURS, POWER = 25, 4
 THRESHOLD = 0.3
 ROWS = 256
+#: Documents are scored for about so many bytes of text at once.
+SLICE = 500_000
 
 
 #: Longest word that is a term as it is, and kinds of characters in a shape; a word with more kinds has several shapes.
@@ -40,14 +45,23 @@ WHOLE, KINDS = 40, 6
 _PIECE = re.compile(r"[^\W\d_]+|\d+|([\W_])\1*")
 
 
-def _kind(c: str) -> str:
-    return ("a" if c.islower() or not c.isupper() else "A") if c.isalpha() else "0" if c.isdigit() else c
+class _Kinds(dict):
+    """Code point to the code point of its kind: lower a, upper A, digit 0, anything else as it is."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = ord(("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c)
+        return self[code]
+
+
+_kinds = _Kinds()
+_REPEAT = re.compile(r"(.)\1+", re.S)
 
 
 def shapes_of(word: str) -> list[str]:
-    """Kinds of characters in a word, runs as one: lower a, upper A, digit 0, anything else as it is; by six."""
-    kinds = [k for k, _ in groupby(word, _kind)]
-    return ["".join(kinds[k : k + KINDS]) for k in range(0, len(kinds), KINDS)]
+    """Kinds of characters in a word, runs as one; by six."""
+    kinds = _REPEAT.sub(r"\1", word.translate(_kinds))
+    return [kinds] if len(kinds) <= KINDS else [kinds[k : k + KINDS] for k in range(0, len(kinds), KINDS)]
 
 
 def pieces_of(word: str) -> list[str]:
@@ -64,7 +78,7 @@ def pieces_of(word: str) -> list[str]:
 
 def terms_of(text: str | None) -> Counter:
     """Terms and their weights before TF-IDF: words, shapes, and marks of length and repetition."""
-    cache = worker_cache("quality")
+    cache = worker_cache("quality").setdefault(0, {})
     split = (text or "").split()
     if not split:
         return Counter()
@@ -90,7 +104,7 @@ def terms_of(text: str | None) -> Counter:
         shaped += len(shapes)
     bucket = lambda name, x, weight: terms.update({f"m {name} {x}": weight})
     common = {k: c / shaped for k, c in terms.items() if k[0] == "s"}
-    bucket("length", min(9, int(math.log2(n))), 1)
+    bucket("length", n.bit_length() - 1, 1)
     bucket("distinct", int(10 * len(words) / n), 8)
     bucket("top", int(10 * words.most_common(1)[0][1] / n), 8)
     bucket("again", int(10 * sum(map(str.__eq__, run, run[1:])) / n), 8)
@@ -108,66 +122,156 @@ class QualityModel:
     labels: np.ndarray
     prior: float
 
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, known term, weight before TF-IDF) in order of both: what terms_of says, for many texts at once."""
+        get = self.terms.get
+        split = [(t or "").split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        numbered = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        words, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        long = np.unique(owner[(pc.utf8_length(numbered.dictionary).to_numpy(zero_copy_only=False) > WHOLE)[at]]) if len(at) else np.zeros(0, np.int64)
+        slow = np.zeros(len(texts), bool)
+        slow[long] = True  # texts with long words go one by one
+        keep = ~slow[owner]
+        owner, at, sizes = owner[keep], at[keep], np.where(slow, 0, sizes)
+        cache = worker_cache("quality")
+        numbers, shapes, parts = cache.setdefault(1, {}), cache.setdefault(2, []), cache.setdefault(3, {})  # of each shape: its number, name; of each word: its known term, its shapes
+        found = []
+        for w in words:
+            part = parts.get(w)
+            if part is None:
+                if len(parts) > 100_000:
+                    parts.clear()
+                own = shapes_of(w) if len(w) <= WHOLE else []
+                for k in own:
+                    if k not in numbers:
+                        numbers[k] = len(shapes)
+                        shapes.append(k)
+                parts[w] = part = (get("w " + w.lower(), -1), *[numbers[k] for k in own])
+            found.append(part)
+        widths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(widths.sum()))
+        starts = np.cumsum(widths) - widths
+        texts_of, terms, weights = [], [], []
+
+        def put(text: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+            known = term >= 0
+            texts_of.append(text[known])
+            terms.append(term[known])
+            weights.append(weight[known])
+
+        def counted(text: np.ndarray, thing: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key, n = np.unique(text * size + thing, return_counts=True)
+            return key // size, key % size, n
+
+        if len(at):
+            word = flat[starts[at]]
+            text, term, n = counted(owner[word >= 0], word[word >= 0], max(1, len(self.terms)))
+            put(text, term, n)
+            more = widths[at] - 1
+            ends = np.cumsum(more)
+            shape = flat[np.repeat(starts[at] + 1 - (ends - more), more) + np.arange(int(ends[-1]))]
+            text, shape, n = counted(np.repeat(owner, more), shape, len(numbers))
+            put(text, np.fromiter((get("s " + k, -1) for k in shapes), np.int64, len(shapes))[shape], n)
+            share = (5 * (n / np.bincount(text, n, minlength=len(texts))[text])).astype(np.int64)
+            pair, back = np.unique(shape * 8 + share, return_inverse=True)
+            put(text, np.fromiter((get(f"m share s {shapes[p // 8]} {p % 8}", -1) for p in pair.tolist()), np.int64, len(pair))[back], np.full(len(text), 2))
+            text, _, n = counted(owner, at, len(words))
+            distinct, top = np.bincount(text, minlength=len(texts)), np.zeros(len(texts), np.int64)
+            np.maximum.at(top, text, n)
+            again = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (at[1:] == at[:-1])], minlength=len(texts))
+            has = np.flatnonzero(sizes)
+            for name, value, weight in (("length", None, 1), ("distinct", distinct, 8), ("top", top, 8), ("again", again, 8)):
+                x = [int(sizes[k]).bit_length() - 1 for k in has] if value is None else (10 * value[has] / sizes[has]).astype(np.int64).tolist()
+                put(has, np.fromiter((get(f"m {name} {v}", -1) for v in x), np.int64, len(has)), np.full(len(has), weight))
+        for k in long.tolist():
+            own = [(i, c) for t, c in terms_of(texts[k]).items() if (i := get(t)) is not None]
+            put(np.full(len(own), k), np.asarray([i for i, _ in own], np.int64), np.asarray([c for _, c in own], np.int64))
+        if not texts_of:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        text, term, weight = np.concatenate(texts_of), np.concatenate(terms), np.concatenate(weights).astype(np.float64)
+        order = np.lexsort((term, text))
+        return text[order], term[order], weight[order]
+
     def project(self, texts: list[str | None]) -> np.ndarray:
         """Unit latent vectors, zero where a text has no known term."""
-        ids, weights, sizes = [], [], []
-        get = self.terms.get
-        for text in texts:
-            known = [(i, c) for t, c in terms_of(text).items() if (i := get(t)) is not None]
-            ids += [i for i, _ in known]
-            weights += [c for _, c in known]
-            sizes.append(len(known))
+        text, term, weight = self.counts(texts)
         out = np.zeros((len(texts), self.axes.shape[1]), np.float64)
-        if ids:
-            at = np.asarray(ids)
-            w = (1 + np.log(np.asarray(weights, np.float64))) * self.idf[at]
-            has = np.asarray(sizes) > 0
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[has]
-            out[has] = np.add.reduceat(self.axes[at] * w[:, None], starts)
+        if len(text):
+            has, starts = np.unique(text, return_index=True)
+            out[has] = np.add.reduceat(self.axes[term] * ((1 + np.log(weight)) * self.idf[term])[:, None], starts)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-12)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        wordless = np.asarray([not (t or "").strip() for t in texts], bool)
         k = min(NEIGHBOURS, len(self.labels))
         if not k:
-            return np.full(len(texts), self.prior)
+            return np.where(wordless, 0.0, self.prior)
         x = self.project(texts)
         sims = x @ self.vectors.T
         least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
         votes = np.where(sims >= least[:, None] - 1e-12, np.maximum(sims, 0.0) ** POWER, 0.0)
         total = votes.sum(axis=1) + 1e-3  # the prior has a small vote of its own
-        return np.where(x.any(axis=1), np.clip((votes @ self.labels + 1e-3 * self.prior) / total, 0.0, 1.0), self.prior)
-
-
-def fit(sample: list[tuple[str, int]], *, terms: int = TERMS, axes: int = AXES) -> QualityModel:
-    """The model of a bounded sample of (text, label). Terms are read twice rather than kept for all documents."""
+        scores = np.where(x.any(axis=1), np.clip((votes @ self.labels + 1e-3 * self.prior) / total, 0.0, 1.0), self.prior)
+        return np.where(wordless, 0.0, scores)
+
+
+class _Sparse:
+    """A sparse matrix by row and by column; products with dense ones, by parts of bounded size."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        by = np.lexsort((row, column))
+        self.forms = ((row, column, value), (column[by], row[by], value[by]))
+
+    def times(self, x: np.ndarray, transposed: bool = False) -> np.ndarray:
+        row, column, value = self.forms[transposed]
+        n = self.shape[transposed]
+        out = np.zeros((n, x.shape[1]))
+        at, step = np.searchsorted(row, np.arange(n + 1)), 100_000
+        k = 0
+        while k < n:
+            z = max(k + 1, int(np.searchsorted(at, at[k] + step, "right")) - 1)
+            a, b = at[k], at[z]
+            if b > a:
+                has, starts = np.unique(row[a:b], return_index=True)
+                out[has] = np.add.reduceat(x[column[a:b]] * value[a:b, None], starts)
+            k = z
+        return out
+
+
+def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
+    """The model of a bounded sample of (text, label). Terms are read again rather than kept for all documents."""
     labels = np.asarray([y for _, y in sample], np.float64)
     frequency: Counter = Counter()
     for text, _ in sample:
         frequency.update(terms_of(text).keys())
-    chosen = sorted((t for t, n in frequency.items() if n >= 2), key=lambda t: (-frequency[t], t))[:terms]
-    frequency = Counter({t: frequency[t] for t in chosen})
-    known = {t: i for i, t in enumerate(chosen)}
+    chosen = sorted(t for t, n in frequency.items() if n >= 2)
     n = len(sample)
     idf = np.asarray([math.log((1 + n) / (1 + frequency[t])) + 0.1 for t in chosen])
+    del frequency
     prior = float(labels.mean()) if n else 0.5
+    model = QualityModel({t: i for i, t in enumerate(chosen)}, idf, np.zeros((len(chosen), 1)), np.zeros((0, 1)), np.zeros(0), prior)
     if not chosen:
-        return QualityModel({}, np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), prior)
-    matrix = np.zeros((n, len(chosen)), np.float32)
-    for row, (text, _) in enumerate(sample):
-        at = [(known[t], x) for t, x in terms_of(text).items() if t in known]
-        if at:
-            i = np.asarray([a for a, _ in at])
-            w = (1 + np.log(np.asarray([x for _, x in at], np.float64))) * idf[i]
-            matrix[row, i] = w / max(np.linalg.norm(w), 1e-12)
+        return model
+    worker_cache("driver")  # what it holds was made for another vocabulary
+    parts = [(text + k, term, weight) for k in range(0, n, ROWS) for text, term, weight in [model.counts([t for t, _ in sample[k : k + ROWS]])]]
+    row, term, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weight = (1 + np.log(weight)) * idf[term]
+    matrix = _Sparse(row, term, weight / np.sqrt(np.bincount(row, weight**2, minlength=n))[row], (n, len(chosen)))
     rank = max(1, min(axes, n, len(chosen)))
     rng = np.random.default_rng(3)
-    basis = matrix @ rng.standard_normal((len(chosen), min(rank + 16, len(chosen)))).astype(np.float32)
-    for _ in range(4):
-        basis, _r = np.linalg.qr(matrix @ (matrix.T @ basis))
-    _, _, vt = np.linalg.svd(basis.T @ matrix, full_matrices=False)
-    model = QualityModel(known, idf, np.ascontiguousarray(vt[:rank].T.astype(np.float64)), np.zeros((0, rank)), np.zeros(0), prior)
-    model.vectors = np.concatenate([model.project([t for t, _ in sample[k : k + ROWS]]) for k in range(0, n, ROWS)])
+    basis = matrix.times(rng.standard_normal((len(chosen), min(rank + 16, len(chosen)))))
+    for _ in range(2):
+        basis, _r = np.linalg.qr(matrix.times(matrix.times(basis, True)))
+    _, _, vt = np.linalg.svd(matrix.times(basis, True).T, full_matrices=False)
+    rank = min(rank, len(vt))
+    model.axes = np.ascontiguousarray(vt[:rank].T)
+    vectors = matrix.times(model.axes)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    model.vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 1e-12)
     model.labels = labels
     return model
 
@@ -181,8 +285,7 @@ def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in slices(whole, "text", SLICE):
                 scores = shared.value.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores, pa.float64())], names=[*names, "score"])
 

@@ -243,10 +243,76 @@ def test_classifiers_odd_rows(spark, score, label):
     by = {r["doc_id"]: r["score"] for r in got}
     high, low = (2, 1) if label == "quality" else (1, 2)
     assert by[high] > by[low]
+    if label == "quality":
+        assert by[100] == by[101] == 0 and {r["predicted"] for r in got if r["doc_id"] in (100, 101)} == {0}
     assert score(docs.limit(0), docs, labels).count() == 0
     assert score(docs, docs, labels.limit(0)).count() == docs.count()
 
 
+def labelled_texts(spark, folder):
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    return docs, [(docs[i], y) for i, y in labels if docs.get(i) is not None and zlib.crc32(str(i).encode()) % 5]
+
+
+def test_quality_equals_brute_force(spark, data):
+    """Projection and votes one by one, from the terms of each text and a model's axes."""
+    import math
+
+    docs, sample = labelled_texts(spark, data("sf0.001"))
+    model = Q.fit(sample)
+    name = {i: t for t, i in model.terms.items()}
+    assert set(name.values()) == {t for t, n in __import__("collections").Counter(t for x, _ in sample for t in Q.terms_of(x)).items() if n >= 2}  # no cap
+
+    def project(text):
+        v = np.zeros(model.axes.shape[1])
+        for t, c in Q.terms_of(text).items():
+            if t in model.terms:
+                v += (1 + math.log(c)) * model.idf[model.terms[t]] * model.axes[model.terms[t]]
+        return v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-12 else v
+
+    odd = [None, "", " \n", "x" * 100, "x" * 10_000, "so " + "0aB" * 40, "天地玄黄" * 30, "a a a b"]
+    texts = [*docs.values(), *odd]
+    got = model.score(texts)
+    examples = [project(t) for t, _ in sample]
+    for text, score in zip(texts, got, strict=True):
+        if not (text or "").split():
+            assert score == 0
+            continue
+        v = project(text)
+        sims = [float(v @ e) for e in examples]
+        least = sorted(sims, reverse=True)[min(Q.NEIGHBOURS, len(sims)) - 1]
+        near = [(max(s, 0.0) ** Q.POWER, y) for s, (_, y) in zip(sims, sample, strict=True) if s >= least - 1e-9]
+        want = (sum(w * y for w, y in near) + 1e-3 * model.prior) / (sum(w for w, _ in near) + 1e-3)
+        assert score == pytest.approx(want if v.any() else model.prior, abs=1e-6)
+    for k, text in enumerate(texts):
+        text_of, term, weight = model.counts([text])
+        assert {name[t]: w for t, w in zip(term, weight)} == {t: c for t, c in Q.terms_of(text).items() if t in model.terms}, k
+
+
+def test_quality_axes_span_the_best_space(spark, data):
+    """The axes keep almost as much of the TF-IDF matrix as those of an exact SVD."""
+    _, sample = labelled_texts(spark, data("sf0.001"))
+    model = Q.fit(sample, axes=8)
+    row, term, weight = model.counts([t for t, _ in sample])
+    dense = np.zeros((len(sample), len(model.terms)))
+    dense[row, term] = (1 + np.log(weight)) * model.idf[term]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    best = np.linalg.svd(dense, compute_uv=False)[:8]
+    assert np.linalg.norm(dense @ model.axes) >= 0.99 * np.linalg.norm(best)
+    assert np.allclose(model.axes.T @ model.axes, np.eye(8))
+
+
+def test_quality_ties_count_all():
+    """More equal neighbours than votes: all of them vote, whatever their order."""
+    sample = [("one two three", k % 2) for k in range(60)] + [("four five six", 1)] * 60
+    texts = ["one two three", "four five six", "one two three four"]
+    a, b = Q.fit(sample).score(texts), Q.fit(sample[::-1]).score(texts)
+    assert np.allclose(a, b) and a[0] == pytest.approx(0.5, abs=0.01) and a[1] == pytest.approx(1.0, abs=0.01)
+
+
 def test_quality_reads_texts_without_spaces(spark):
     rng = random.Random(14)
     head = "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(300))
@@ -264,7 +330,8 @@ def test_quality_terms_of_long_words():
         pieces = Q.pieces_of(word)
         assert set("".join(pieces)) == set(word) and all(len(p) <= Q.WHOLE for p in pieces)
         assert all(Q.terms_of("so " + word)["w " + p.lower()] for p in pieces)
-        assert "".join(Q.shapes_of(word)) == "".join(k for i, k in enumerate(map(Q._kind, word)) if not i or k != Q._kind(word[i - 1]))
+        kind = lambda c: ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        assert "".join(Q.shapes_of(word)) == "".join(kind(c) for i, c in enumerate(word) if not i or kind(c) != kind(word[i - 1]))
 
 
 # --- fingerprints
