@@ -3,10 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and but for the last returns the
 columns of documents. run() writes each stage's result as Parquet in the shared folder and reads it again.
 
-Defined results: null and empty texts are scored like any text without terms, so the share of labels decides whether
-they stay; they link with nothing, are repeated like the rest of their source, at no cost in words, and have no ids.
-Rows without an id are kept like others. Repeated rows fare alike. An empty table passes every stage. Columns beyond those of
-documents are left out.
+Defined results: null, empty and blank texts have no quality and leave in the first stage (the other stages, asked alone,
+keep them: they link with nothing, are repeated like the rest of their source, at no cost in words, and have no ids).
+Rows without an id are kept like others. Rows that repeat both id and text are one document after the third stage. An
+empty table passes every stage. Columns beyond those of documents are left out.
 """
 
 from __future__ import annotations
