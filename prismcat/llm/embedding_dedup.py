@@ -4,8 +4,9 @@ Equal vectors of a label are one vector with a count. A spherical k-means on a b
 is at home in the cell of its nearest centre, and a guest of every other cell in which a vector within reach could be at
 home. Unit vectors with cosine s are sqrt(2 - 2s) apart, so a partner of x can only be at home in cell d, x being at home
 in c, if x . (c - d) <= sqrt(2 - 2s) |c - d|: no link is lost at a cell's border. A pair meets once, in the later of the
-two home cells. A cell, however large, is cut into chunks, and each pair of chunks is a task of bounded size that returns
-sums per vector and a star per group of linked vectors, never the pairs.
+two home cells. A cell, however large, is cut into bands of distance from its centre, as wide as the reach, so that
+partners are in the same or the next band, and those into chunks. Each pair of chunks of such bands is a task of bounded
+size that returns sums per vector and a star per group of linked vectors, never the pairs.
 
 Defined results: a vector that is null, empty or zero, holds a null or non-finite component, or has no label or id links
 with nothing; vectors of different lengths do not link; each row of repeated rows counts as a vector; a null vec_id has
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prismcat.llm.common import read, written
 from prismcat.llm.components import connected_components, union_find
 
 SIMILARITY = 0.98
-#: The centres are fitted on at most so many vectors; at most so many centres; a cell is meant to have so many rows.
-SAMPLE, CENTRES, CELL = 20_000, 1_024, 2_000
+#: The centres are fitted on at most so many vectors, of so many bytes in all; a cell is meant to have so many rows, and a
+#: centre to have so many vectors of the sample.
+SAMPLE, SAMPLE_BYTES, CELL, PER_CENTRE = 40_000, 64_000_000, 2_000, 10
 #: A task compares at most two chunks of about so many rows.
 CHUNK = 2_000
 ROUNDS = 8
@@ -37,11 +39,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        sims = x @ centres.T
-        home = sims.argmax(axis=1)
+        home, fit = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for at in range(0, len(x), 1000):
+            sims = x[at : at + 1000] @ centres.T
+            home[at : at + 1000], fit[at : at + 1000] = sims.argmax(axis=1), sims.max(axis=1)
+        order = np.argsort(home, kind="stable")
+        full, starts = np.unique(home[order], return_index=True)
         sums = np.zeros_like(centres)
-        np.add.at(sums, home, x)
-        worst = iter(np.argsort(sims.max(axis=1), kind="stable"))
+        sums[full] = np.add.reduceat(x[order], starts)
+        worst = iter(np.argsort(fit, kind="stable"))
         for c in np.flatnonzero(np.bincount(home, minlength=len(centres)) == 0):
             sums[c] = x[next(worst)]
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -49,6 +55,12 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
     return centres
 
 
+def distances(centres: np.ndarray) -> np.ndarray:
+    """Distances between all centres, by products: the memory is that of the result."""
+    square = (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(0.0, square[:, None] + square - 2 * (centres @ centres.T)))
+
+
 def _unit(rows: list[list[float]]) -> np.ndarray:
     x = np.asarray(rows, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # against overflow
@@ -105,14 +117,19 @@ def dedup_embeddings(vectors: DataFrame, *, similarity: float = SIMILARITY, chun
     groups = unique.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n"), F.sum("count").alias("all")).orderBy(F.desc("all"), "dim").limit(1).collect()
     centres, dim = np.zeros((1, 1)), 0
     if groups:
-        dim, wanted = groups[0]["dim"], max(1, min(CENTRES, math.ceil(groups[0]["n"] / cell)))
+        dim = groups[0]["dim"]
+        bound = max(PER_CENTRE, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        wanted = max(1, min(bound // PER_CENTRE, math.ceil(groups[0]["n"] / cell)))
         if wanted > 1:
-            sample = _unit([r["v"] for r in unique.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()])
-            centres = spherical_kmeans(sample, wanted)
+            first = unique.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(bound).select("v")
+            centres = spherical_kmeans(_unit(np.stack(first.toPandas()["v"].to_numpy())), wanted)
         else:
             centres = np.zeros((1, dim))
     reach = math.sqrt(max(0.0, 2 - 2 * similarity))
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    apart = distances(centres)
+    width = max(reach, 1e-3) * (1 + 1e-6) + 1e-6  # of a band, with room for rounding
+
+    norms = (centres**2).sum(axis=1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,39 +137,55 @@ def dedup_embeddings(vectors: DataFrame, *, similarity: float = SIMILARITY, chun
             for d, rep, v in zip(*(batch.column(n).to_pylist() for n in ("dim", "rep", "v")), strict=True):
                 out.append((rep, _unit([v])[0], d))
             cells: list[list[int]] = []
+            bands: list[list[int]] = []
             main = [k for k, o in enumerate(out) if o[2] == dim]
             sims = np.asarray([out[k][1] for k in main]) @ centres.T if main else np.zeros((0, 1))
             by_row = dict(zip(main, sims, strict=True))
             for k in range(len(out)):
                 if k not in by_row:
                     cells.append([0])
+                    bands.append([0])
                     continue
                 s = by_row[k]
                 home = int(s.argmax())
-                near = np.flatnonzero(s[home] - s <= reach * apart[home] + 1e-9)
+                near = np.flatnonzero(s[home] - s <= reach * apart[home] + 1e-7)
                 cells.append([home, *[int(c) for c in near if c > home]])
+                bands.append((np.sqrt(np.maximum(0.0, 1 + norms[cells[-1]] - 2 * s[cells[-1]])) // width).astype(int).tolist())
             sizes = [len(c) for c in cells]
             at = np.repeat(np.arange(len(out)), sizes)
             taken = batch.select(["label", "rep", "copies", "dim"]).take(pa.array(at))
             unit = [out[k][1].tobytes() for k in at]
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array([c for cs in cells for c in cs], pa.int32()), pa.array([k == 0 for cs in cells for k in range(len(cs))]), pa.array(unit, pa.binary())],
-                names=["label", "rep", "copies", "dim", "cell", "home", "unit"],
+                [*taken.columns, pa.array([c for cs in cells for c in cs], pa.int32()), pa.array([k == 0 for cs in cells for k in range(len(cs))]), pa.array([b for bs in bands for b in bs], pa.int64()), pa.array(unit, pa.binary())],
+                names=["label", "rep", "copies", "dim", "cell", "home", "band", "unit"],
             )
 
     label_type = dict(unique.dtypes)["label"]
-    members = written(spark, unique.select("label", "rep", "copies", "dim", "v").mapInArrow(assign, f"label {label_type}, rep long, copies long, dim int, cell int, home boolean, unit binary"), "cells")
+    members = written(spark, unique.select("label", "rep", "copies", "dim", "v").mapInArrow(assign, f"label {label_type}, rep long, copies long, dim int, cell int, home boolean, band long, unit binary"), "cells")
     key = ["label", "dim", "cell"]
-    sizes = members.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / chunk)).cast("int")
-    sized = members.join(sizes, key).withColumn("nh", chunks("homes")).withColumn("ng", F.when(F.col("guests") > 0, chunks("guests")).otherwise(0))
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))).cast("int")
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    chunks = lambda n: F.ceil(n / chunk).cast("int")
+    sizes = members.groupBy(*key, "band").agg(chunks(F.count_if("home")).alias("h"), chunks(F.count_if(~F.col("home"))).alias("g"))
+    # Chunks of homes (h) and guests (g) in a band and in the ones beside it.
+    sides = (("lower", -1), ("same", 0), ("upper", 1))
+    beside = sizes.withColumn("step", F.explode(F.array(*[F.lit(k) for _, k in sides]))).withColumn("band", F.col("band") - F.col("step"))
+    per = [F.coalesce(F.max(F.when(F.col("step") == k, F.col(n))), F.lit(0)).alias(f"{n}_{side}") for side, k in sides for n in "hg"]
+    sized = members.join(beside.groupBy(*key, "band").agg(*per), [*key, "band"])
+    place = lambda band, c: band * (1 << 32) + c
+    own = place(F.col("band"), F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("h_same")).otherwise(F.col("g_same"))))
     task = lambda a, b, kind, first, second: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"))
     yes, no, c = F.lit(True), F.lit(False), F.col("c")
-    among = F.transform(upto("nh"), lambda j: task(F.least(c, j), F.greatest(c, j), 0, c <= j, c >= j))
-    hosts = F.transform(upto("ng"), lambda j: task(c, j, 1, yes, no))
-    visits = F.transform(upto("nh"), lambda i: task(i, c, 1, no, yes))
+
+    def others(kind: str, make) -> Column:
+        """make(chunk) for all chunks of homes or guests in this band and those beside it."""
+
+        def part(n: Column, band: Column) -> Column:
+            return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda j: make(place(band, j.cast("long"))))
+
+        return F.concat(*[part(F.col(f"{kind}_{side}"), F.col("band") + k) for side, k in sides])
+
+    among = others("h", lambda j: task(F.least(c, j), F.greatest(c, j), 0, c <= j, c >= j))
+    hosts = others("g", lambda j: task(c, j, 1, yes, no))
+    visits = others("h", lambda i: task(i, c, 1, no, yes))
     tasks = sized.withColumn("c", own).withColumn("t", F.explode(F.when(F.col("home"), F.concat(among, hosts)).otherwise(visits))).select(*key, "t.*", "rep", "copies", "unit")
 
     def compare(table: pa.Table) -> pa.Table:

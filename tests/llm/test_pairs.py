@@ -78,6 +78,22 @@ def test_embeddings_equal_brute_force(spark, chunk, cell):
     assert got == brute_embeddings(rows)
 
 
+def test_centres_of_wide_vectors_stay_small():
+    """768 dimensions and 1,024 centres: no array of centres by centres by dimensions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 768))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    centres = E.spherical_kmeans(x, 1024, rounds=1)
+    apart = E.distances(centres)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    some = rng.integers(0, 1024, (50, 2))
+    assert np.allclose(apart[some[:, 0], some[:, 1]], np.linalg.norm(centres[some[:, 0]] - centres[some[:, 1]], axis=1), atol=1e-7)
+
+
 def test_embeddings_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert E.dedup_embeddings(empty).count() == 0
