@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from prismcat.llm.common import read, word_count
+from prismcat.llm.common import read, word_count, written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -71,9 +71,8 @@ def mixing_plan(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epoc
     """
     docs = docs.drop(*RESERVED, "_source", "_copy")
     sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, max_epochs).withColumnRenamed("source", "_source")
-    few = docs.select("source").distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    rates = F.broadcast(targets) if few else targets
+    targets = written(docs.sparkSession, source_targets(sized.select("source", "size"), weights, max_epochs).withColumnRenamed("source", "_source"), "rates")
+    rates = F.broadcast(targets) if targets.count() <= MAX_BROADCAST_SOURCES else targets
     copies = (F.floor("rate") + (uniform(seed, F.col("doc_id"), F.col("text")) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return (
         sized.join(rates, F.col("source").eqNullSafe(F.col("_source")))

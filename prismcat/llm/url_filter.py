@@ -7,7 +7,7 @@ Defined results: a null URL, or one without "://", has an empty host and path, f
 trees on zero features; repeated rows are judged alike; with no labelled URL every undecided one is allowed, with
 labels of one kind all get that verdict; an empty table gives an empty result; further columns pass through, those
 named like the operator's own (host, path, rule, verdict, block_score) are replaced, those named like a feature
-(FEATURES, _suffix) are left out.
+(FEATURES, _suffix, _site, _section, _b, _n) are left out.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from prismcat.llm.common import ascii_lower, read, written
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: The trees are fitted on at most so many labelled URLs, the first by hash.
 SAMPLE = 20_000
-#: Statistics of at most so many suffixes are broadcast; more are joined by shuffle.
+#: Statistics of at most so many suffixes (sites, sections) are broadcast; more are joined by shuffle.
 SUFFIXES = 100_000
 TREES, DEPTH, STEP, SEED = 12, 4, 0.3, 11
-FEATURES = ("f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_fragment", "f_hyphens", "f_suffix_rate", "f_suffix_log")
+FEATURES = ("f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_fragment", "f_hyphens", *[f"f_{k}_{x}" for k in ("suffix", "site", "section") for x in ("rate", "log")])
+#: Keys of the suffix statistics: the host's last label, its last two, and these with the path's first segment.
+KEYS = ("suffix", "site", "section")
 _OWN = ("host", "path", "rule", "verdict", "block_score")
 
 
@@ -62,6 +64,11 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(n) - F.aggregate(chars, zero, step, done) / n).otherwise(0.0)
 
 
+def keys_of(host: Column, path: Column) -> dict[str, Column]:
+    site = F.substring_index(host, ".", -2)
+    return {"_suffix": F.substring_index(host, ".", -1), "_site": site, "_section": F.concat(site, F.lit("/"), F.regexp_extract(path, r"(?s)\A/([^/]*)/", 1))}
+
+
 def with_features(urls: DataFrame) -> DataFrame:
     """The lexical features that need no other row; host and path are there already."""
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -79,11 +86,19 @@ def with_features(urls: DataFrame) -> DataFrame:
             "f_params": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
             "f_fragment": url.contains("#").cast("double"),
             "f_hyphens": count(F.col("host"), "-"),
-            "_suffix": F.substring_index(F.col("host"), ".", -1),
+            **keys_of(F.col("host"), F.col("path")),
         }
     )
 
 
+def with_suffix(urls: DataFrame, key: str, stats: DataFrame, label: Column | None = None) -> DataFrame:
+    """Share of blocked ones (smoothed) and log count of all labelled URLs of the same key; with label, of all others."""
+    blocked, many = F.coalesce("_b", F.lit(0.0)), F.coalesce("_n", F.lit(0)).cast("double")
+    if label is not None:
+        blocked, many = blocked - label, many - 1
+    return urls.join(stats, f"_{key}", "left").withColumns({f"f_{key}_rate": (blocked + 1.0) / (many + 2.0), f"f_{key}_log": F.log1p(many)}).drop("_b", "_n")
+
+
 def _tree(node, depth: int = 0) -> Column:
     """A fitted regression tree as a column expression."""
     if not node.getClass().getSimpleName().startswith("Internal"):
@@ -92,31 +107,39 @@ def _tree(node, depth: int = 0) -> Column:
     return F.when(F.col(FEATURES[split.featureIndex()]) <= float(split.threshold()), _tree(node.leftChild(), depth + 1)).otherwise(_tree(node.rightChild(), depth + 1))
 
 
-def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """pages with host, path, rule, verdict and block_score (null where a rule decides)."""
+def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE, score_all: bool = False) -> DataFrame:
+    """pages with host, path, rule, verdict and block_score (null where a rule decides, unless score_all).
+
+    The trees learn from the first `sample` labelled URLs by hash; there the suffix statistics leave the URL itself out.
+    """
     verdict = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)]) if rules else None
-    judged = pages.drop(*_OWN, *FEATURES, "_suffix").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    judged = pages.drop(*_OWN, *FEATURES, *[f"_{k}" for k in KEYS], "_b", "_n").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string") if verdict is None else F.element_at(verdict, F.col("rule"))
     judged = judged.withColumn("verdict", by_rule)
     full = with_features(judged)
     every = judged.where(F.col("rule").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
     labelled = every.orderBy(F.xxhash64("url"), "url").limit(sample)
-    fitted = with_features(labelled).select("label", "_suffix", *FEATURES[:-2]).cache()
+    fitted = with_features(labelled).select("label", *[f"_{k}" for k in KEYS], *[f for f in FEATURES if not f.startswith(tuple(f"f_{k}_" for k in KEYS))]).cache()
     try:
-        # Suffix statistics of all labelled URLs: share of blocked ones (smoothed) and log count.
-        spark = pages.sparkSession
-        by_suffix = every.groupBy(F.substring_index("host", ".", -1).alias("_suffix")).agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
-        rate = (F.col("_b") + 1.0) / (F.col("_n") + 2.0)
-        stats = written(spark, by_suffix.select("_suffix", rate.alias("f_suffix_rate"), F.log1p(F.col("_n").cast("double")).alias("f_suffix_log")), "suffixes")
-        if stats.count() <= SUFFIXES:
-            stats = F.broadcast(stats)
+        # Suffix statistics of all labelled URLs.
+        tables: dict[str, DataFrame] = {}
+        for key in KEYS:
+            counted = every.select(keys_of(F.col("host"), F.col("path"))[f"_{key}"].alias(f"_{key}"), "label").groupBy(f"_{key}").agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
+            tables[key] = written(pages.sparkSession, counted, key)
+            if tables[key].count() <= SUFFIXES:
+                tables[key] = F.broadcast(tables[key])
+
+        def join(urls: DataFrame, label: Column | None = None) -> DataFrame:
+            for key, stats in tables.items():
+                urls = with_suffix(urls, key, stats, label)
+            return urls
+
         kinds = {r["label"] for r in fitted.select("label").distinct().collect()}
-        join = lambda df: df.join(stats, "_suffix", "left").fillna({"f_suffix_rate": 0.5, "f_suffix_log": 0.0})
         if len(kinds) < 2:
             margin = F.lit(1.0 if kinds == {1.0} else -1.0)
         else:
-            data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(join(fitted)).select("label", "features").coalesce(1)
+            data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(join(fitted, F.col("label"))).select("label", "features").coalesce(1)
             model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, maxBins=32).fit(data)
             margin = F.lit(0.0)
             trees = model._java_obj.trees()
@@ -125,9 +148,10 @@ def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, s
     finally:
         fitted.unpersist()
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * margin))
-    scored = join(full).withColumn("block_score", F.when(F.col("rule").isNull(), score))
+    every_score = score if score_all else F.when(F.col("rule").isNull(), score)
+    scored = join(full).withColumn("block_score", every_score)
     decided = F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", decided).drop("_suffix", *FEATURES)
+    return scored.withColumn("verdict", decided).drop(*[f"_{k}" for k in KEYS], *FEATURES)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
