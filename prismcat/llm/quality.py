@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
+from prismcat.llm.common import fold_of, give_back, labelled_sample, read, worker_cache
 from prismcat.llm.pieces import slices
 
 #: Labelled documents that the model learns from, and latent axes.
@@ -230,7 +230,7 @@ class _Sparse:
         row, column, value = self.forms[transposed]
         n = self.shape[transposed]
         out = np.zeros((n, x.shape[1]))
-        at, step = np.searchsorted(row, np.arange(n + 1)), 100_000
+        at, step = np.searchsorted(row, np.arange(n + 1)), 20_000
         k = 0
         while k < n:
             z = max(k + 1, int(np.searchsorted(at, at[k] + step, "right")) - 1)
@@ -259,6 +259,8 @@ def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
     worker_cache("driver")  # what it holds was made for another vocabulary
     parts = [(text + k, term, weight) for k in range(0, n, ROWS) for text, term, weight in [model.counts([t for t, _ in sample[k : k + ROWS]])]]
     row, term, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    worker_cache("driver")
     weight = (1 + np.log(weight)) * idf[term]
     matrix = _Sparse(row, term, weight / np.sqrt(np.bincount(row, weight**2, minlength=n))[row], (n, len(chosen)))
     rank = max(1, min(axes, n, len(chosen)))
@@ -266,10 +268,12 @@ def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
     basis = matrix.times(rng.standard_normal((len(chosen), min(rank + 16, len(chosen)))))
     for _ in range(2):
         basis, _r = np.linalg.qr(matrix.times(matrix.times(basis, True)))
-    _, _, vt = np.linalg.svd(matrix.times(basis, True).T, full_matrices=False)
-    rank = min(rank, len(vt))
-    model.axes = np.ascontiguousarray(vt[:rank].T)
-    vectors = matrix.times(model.axes)
+    image = matrix.times(basis, True)
+    value, turn = np.linalg.eigh(image.T @ image)  # its right singular vectors are those of a small square matrix
+    best = np.argsort(-value, kind="stable")[: max(1, min(rank, int((value > 1e-10 * value.max()).sum())))]
+    model.axes = (image @ (turn[:, best] / np.sqrt(value[best]))).astype(np.float32)
+    del image, basis
+    vectors = matrix.times(model.axes.astype(np.float64))
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     model.vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 1e-12)
     model.labels = labels
@@ -278,7 +282,7 @@ def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
 
 def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
     """docs with score and predicted, by any model that has score(texts); no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the model is made of
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
@@ -295,14 +299,14 @@ def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFr
 
 def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> QualityModel:
     """Learns from rows whose crc32(doc_id as text) mod 5 is not 0."""
-    model = fit(labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), 5) != 0, sample))
-    worker_cache("driver")  # the shapes of the sample are not needed here any more
-    return model
+    return fit(labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), 5) != 0, sample))
 
 
 def score_quality(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text, ...) with held_out, score and predicted."""
-    return score_with(docs.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0), quality_model(labelled_docs, labels), threshold)
+    scored = score_with(docs.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0), quality_model(labelled_docs, labels), threshold)
+    give_back()  # what the driver needed for the fit
+    return scored
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismcat.llm.common import fold_of, labelled_sample, read, worker_cache
+from prismcat.llm.common import fold_of, give_back, labelled_sample, read, worker_cache
 from prismcat.llm.pieces import slices
 
 #: Labelled documents that the model learns from.
@@ -103,8 +103,8 @@ class BlockMaxIndex:
         self.at, self.weight, term = at[order].astype(np.int32), weight[order], term[order]
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)
-        self.start = np.flatnonzero(new)  # entries: a term in a block
-        self.size = np.diff(np.append(self.start, len(term)))
+        self.start = np.flatnonzero(new).astype(np.int32)  # entries: a term in a block
+        self.size = np.diff(np.append(self.start, len(term))).astype(np.int32)
         self.block = self.at[self.start] // BLOCK
         self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else np.zeros(0)
         self.entries = np.searchsorted(term[self.start], np.arange(n_terms + 1))
@@ -286,7 +286,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE)
 
 def score_toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text, ...) with held_out, score, predicted and evidence; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(labelled_docs, labels))  # bounded by its parameters
+    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(labelled_docs, labels))  # bounded by the sample that it is made of
+    give_back()  # what the driver needed for the fit
     own = ("held_out", "score", "predicted", "evidence")
     kept = [f for f in docs.schema.fields if f.name not in own]
     names = [f.name for f in kept]

@@ -322,7 +322,7 @@ def test_quality_axes_span_the_best_space(spark, data):
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     best = np.linalg.svd(dense, compute_uv=False)[:8]
     assert np.linalg.norm(dense @ model.axes) >= 0.99 * np.linalg.norm(best)
-    assert np.allclose(model.axes.T @ model.axes, np.eye(8))
+    assert np.allclose(model.axes.T @ model.axes, np.eye(8), atol=1e-5)
 
 
 def test_quality_ties_count_all():
