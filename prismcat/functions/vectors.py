@@ -59,36 +59,76 @@ def scaled_vectors(df: DataFrame, vector: str, *, fit_on: Column | None = None,
     return joined.withColumn(vector, F.zip_with(vector, "_stats", lambda v, s: (v.cast("double") - s["c"]) / s["s"])).drop("_stats")
 
 
-def knn_self_join(df: DataFrame, key: str, vector: str, k: int, *, block: int = 4096) -> DataFrame:
-    """(a, b, similarity, rank): for each row its k nearest others by cosine, exact; ties by key.
+def _top(sims: np.ndarray, asking: np.ndarray, others: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of sims the k best other ids; others is sorted, so ties go to the smaller id."""
+    sims = np.where(asking[:, None] == others[None, :], -np.inf, sims)
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(sims, top, axis=1)
+    r, c = np.nonzero(best > -np.inf)
+    return [(asking[r], others[top[r, c]], best[r, c])]
 
-    Rows are dealt to blocks by a hash of the key, and each pair of blocks is a task: one matrix product, of which the
-    k best of each row leave. No side is broadcast, and no task holds more than two blocks.
-    """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("c").alias("i"), "j", "id", "v", F.lit(True).alias("asks"))
-    right = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("i", F.col("c").alias("j"), "id", "v", F.lit(False).alias("asks"))
+
+def _nearest(k: int, metric: str, both: bool):
+    """A task: rows of side 0 ask rows of side 1; with both, those ask back (a task of one block has side 0 only)."""
 
     def best(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["asks"].to_pylist(), bool)
-        ids = np.asarray(table["id"].to_pylist())
-        x = np.asarray(table["v"].to_pylist(), np.float64)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        c = c[np.argsort(ids[c], kind="stable")]
-        out: list[tuple] = []
-        for at in range(0, len(q), 512):
-            part = q[at : at + 512]
-            sims = x[part] @ x[c].T
-            sims[ids[part][:, None] == ids[c][None, :]] = -np.inf
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            for r, cols in zip(range(len(part)), top, strict=True):
-                out += [(ids[part[r]].item(), ids[c[j]].item(), float(sims[r, j])) for j in cols if sims[r, j] > -np.inf]
-        a, b, s = zip(*out, strict=True) if out else ((), (), ())
+        side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+        x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        if metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        order = np.lexsort((ids, side))
+        side, ids, x = side[order], ids[order], x[order]
+        q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if both and not len(c):
+            c, both_ways = q, False
+        else:
+            both_ways = both
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            if metric == "cosine":
+                return a @ b.T
+            return -np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+        step = 512 if metric == "cosine" else 64
+        for at in range(0, len(q), step):
+            sims = product(x[q[at : at + step]], x[c])
+            found += _top(sims, ids[q[at : at + step]], ids[c], k)
+            if both_ways:
+                found += _top(sims.T, ids[c], ids[q[at : at + step]], k)
+        a, b, s = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
-    near = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "a long, b long, similarity double")
+    return best
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _dealt(df: DataFrame, key: str, vector: str, block: int) -> tuple[DataFrame, int]:
+    """(id, v, c): rows dealt to blocks of about `block` rows by a hash of the key; and the number of blocks."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // block))
+    return rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+
+def knn_join(asking: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *, block: int = 4096, metric: str = "cosine") -> DataFrame:
+    """(a, b, similarity, rank): for each asking row the k nearest rows with another key, exact; ties by key.
+
+    Each block of asking rows meets each block of rows in a task: one matrix product, of which the k best of each asking
+    row leave. No side is broadcast, and no task holds more than two blocks. metric: cosine, or euclidean, whose
+    similarity is the distance below zero.
+    """
+    (ask, n_ask), (own, n_own) = _dealt(asking, key, vector, block), _dealt(rows, key, vector, block)
+    left = ask.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_own - 1)))).select(F.col("c").alias("i"), "j", "id", "v", F.lit(0).alias("side"))
+    right = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1)))).select("i", F.col("c").alias("j"), "id", "v", F.lit(1).alias("side"))
+    return _ranked(left.unionByName(right).groupBy("i", "j").applyInArrow(_nearest(k, metric, False), "a long, b long, similarity double"), k)
+
+
+def knn_self_join(df: DataFrame, key: str, vector: str, k: int, *, block: int = 4096) -> DataFrame:
+    """knn_join of a table with itself by cosine: each unordered pair of blocks is one task, whose product serves both."""
+    rows, n = _dealt(df, key, vector, block)
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "id", "v", F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"))
+    return _ranked(met.groupBy("i", "j").applyInArrow(_nearest(k, "cosine", True), "a long, b long, similarity double"), k)

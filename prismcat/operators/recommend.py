@@ -7,7 +7,7 @@ of feature values). Every order ends in the id, so results are total.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -25,6 +25,14 @@ class Filters:
     popularity_min: float | None = None
     different_artist: bool = False
 
+    @classmethod
+    def from_config(cls, values: dict) -> Filters:
+        """Filters from a mapping of their names; what is not named keeps its default, an unknown name is an error."""
+        known = {f.name for f in fields(cls)}
+        if unknown := set(values) - known:
+            raise ValueError(f"unknown filters: {', '.join(sorted(unknown))}")
+        return cls(**{k: tuple(v) if k == "genres" else v for k, v in values.items()})
+
     def __post_init__(self) -> None:
         if self.explicit not in ("all", "explicit", "non_explicit"):
             raise ValueError(f"explicit: {self.explicit}")
@@ -136,6 +144,27 @@ class Profile:
             raise ValueError("weights lie between 0 and 3, and one at least is positive")
 
 
+# The features of a preference profile, and for each preset its wanted values and their weights.
+PREFERENCE_FEATURES = ("energy", "danceability", "valence", "acousticness", "instrumentalness", "tempo")
+PRESETS = (
+    Profile("entrenamiento_intenso", (0.90, 0.75, 0.65, 0.05, 0.05, 145), (3, 2, 1, 2, 1, 2)),
+    Profile("fiesta", (0.85, 0.90, 0.75, 0.05, 0.02, 128), (2, 3, 2, 1, 1, 2)),
+    Profile("concentracion_instrumental", (0.35, 0.30, 0.45, 0.55, 0.85, 90), (1, 1, 1, 2, 3, 1)),
+    Profile("relajacion", (0.25, 0.35, 0.55, 0.75, 0.45, 80), (2, 1, 1, 2, 1, 2)),
+    Profile("alegre_y_bailable", (0.72, 0.85, 0.88, 0.08, 0.02, 124), (2, 3, 3, 1, 1, 2)),
+    Profile("melancolico", (0.30, 0.35, 0.15, 0.60, 0.20, 85), (2, 1, 3, 2, 1, 1)),
+    Profile("acustico", (0.40, 0.45, 0.55, 0.90, 0.05, 95), (1, 1, 1, 3, 1, 1)),
+)
+
+
+def preset(name: str, presets: Sequence[Profile] = PRESETS) -> Profile:
+    """The preset of a name; KeyError without one."""
+    for p in presets:
+        if p.name == name:
+            return p
+    raise KeyError(name)
+
+
 def preferred_items(catalog: DataFrame, profile: Profile, n: int = 10) -> DataFrame:
     """(id, distance, similarity): the n items nearest to a profile given in scaled units; similarity is 1 / (1 + d)."""
     table = scaled_vectors(eligible(catalog), "f")
@@ -144,6 +173,12 @@ def preferred_items(catalog: DataFrame, profile: Profile, n: int = 10) -> DataFr
     return rows.orderBy("distance", "id").limit(n)
 
 
+def in_scaled_units(presets: Sequence[Profile], catalog: DataFrame) -> list[Profile]:
+    """Profiles whose values are given in the features' own units, in deviations from the catalog's means."""
+    stats = eligible(catalog).select(F.posexplode("f").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("c"), F.stddev_pop("x").alias("s")).orderBy("i").collect()  # a row per feature
+    return [replace(p, values=tuple((v - r["c"]) / (r["s"] or 1.0) for v, r in zip(p.values, stats, strict=True))) for p in presets]
+
+
 def preset_items(catalog: DataFrame, presets: Sequence[Profile], n: int = 10) -> DataFrame:
     """(preset, id, distance, rank) for several profiles in one scan; at most n rows per profile and task are shuffled."""
     table = scaled_vectors(eligible(catalog), "f")
@@ -193,10 +228,10 @@ def rerank(results: DataFrame, catalog: DataFrame, weight: float = 0.85, n: int
 
 def batch_similar(catalog: DataFrame, seeds: DataFrame, n: int = 10) -> DataFrame:
     """(seed, id, similarity, rank) for many seeds at once: the exact blocked kNN join over scaled features."""
-    from prismcat.functions.vectors import knn_self_join
+    from prismcat.functions.vectors import knn_join
 
     table = scaled_vectors(eligible(catalog), "f")
-    near = knn_self_join(table, "id", "f", n).join(seeds.select(F.col("id").alias("a")), "a", "left_semi")
+    near = knn_join(table.join(seeds.select("id"), "id", "left_semi"), table, "id", "f", n)
     return near.select(F.col("a").alias("seed"), F.col("b").alias("id"), "similarity", "rank")
 
 

@@ -32,6 +32,12 @@ def search_literal(catalog: DataFrame, query: str, *, limit: int = 20) -> DataFr
     return rows.select("id", F.coalesce(F.lower("artists").contains(wanted), F.lit(False)).alias("boosted")).orderBy(F.desc("boosted"), "id").limit(limit)
 
 
+def find_seed(catalog: DataFrame, name: str, artist: str) -> DataFrame:
+    """The most popular row (ties: smallest id) whose name and artists hold the given texts, whatever their case; a null popularity comes last."""
+    holds = lambda c, text: F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return catalog.where(holds("name", name) & holds("artists", artist)).orderBy(F.desc_nulls_last("popularity"), "id").limit(1)
+
+
 def resolve(catalog: DataFrame, key: str, value: int | str) -> dict:
     """The row with a key as a dictionary; KeyError without one."""
     row = catalog.where(F.col(key) == F.lit(value)).limit(1).first()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Shares of validation and test.
 VALIDATION, TEST = 0.15, 0.15
@@ -14,6 +16,72 @@ def split_of(group: Column, seed: int, validation: float = VALIDATION, test: flo
     return F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train")
 
 
+def hash_number(group: Column, seed: Column) -> Column:
+    """52 bits of an md5 of the seed and the group, as a long."""
+    return F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(":"), group.cast("string"))), 1, 13), 16, 10).cast("long")
+
+
+def smallest(df: DataFrame, keys: Sequence[str], number: str, id_: str, share: Column) -> DataFrame:
+    """df with `taken`: whether a row is among the ceil(share * rows) smallest of its keys by number (52 bits), then id.
+
+    Counts by the number's first bits find the slot in which the cut falls; only that slot's rows are put in order.
+    """
+    slots = df.withColumn("_slot", F.shiftright(F.col(number), 52 - SLOT_BITS))
+    counts = slots.groupBy(*keys, "_slot").agg(F.count("*").alias("_k"))
+    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # over 2**SLOT_BITS rows at most
+    want = F.ceil(F.round(share * F.sum("_k").over(W.partitionBy(*keys)), 9)).cast("long")
+    left = counts.withColumn("_left", want - F.coalesce(F.sum("_k").over(before), F.lit(0))).select(*keys, "_slot", "_k", "_left")
+    placed = slots.join(left, [*keys, "_slot"])
+    sure = placed.where("_left <= 0 or _left >= _k").withColumn("taken", F.col("_left") > 0)
+    cut = placed.where("_left > 0 and _left < _k")
+    order = W.partitionBy(*keys, "_slot").orderBy(number, id_)
+    return sure.unionByName(cut.withColumn("taken", F.row_number().over(order) <= F.col("_left"))).drop("_slot", "_k", "_left")
+
+
+#: A cut is looked for in 2**SLOT_BITS slots.
+SLOT_BITS = 12
+
+
+def split_candidates(groups: DataFrame, group: str, *, candidates: int = 50, seed: int = 42, validation: float = VALIDATION, test: float = TEST) -> DataFrame:
+    """(seed, group, split) for every candidate seed: test is carved first, then validation from the rest with seed + 1000.
+
+    Sizes are exact: ceil(test * n), then ceil(validation / (1 - test) * rest). `groups` has one row per group.
+    """
+    rows = groups.select(group, F.explode(F.sequence(F.lit(seed), F.lit(seed + candidates - 1))).alias("seed"))
+    first = smallest(rows.withColumn("_h", hash_number(F.col(group), F.col("seed"))), ["seed"], "_h", group, F.lit(test))
+    rest = first.where("not taken").drop("taken").withColumn("_h", hash_number(F.col(group), F.col("seed") + 1000))
+    second = smallest(rest, ["seed"], "_h", group, F.lit(validation / (1 - test)))
+    name = F.when(F.col("taken"), "validation").otherwise("train")
+    return first.where("taken").select("seed", group, F.lit("test").alias("split")).unionByName(second.select("seed", group, name.alias("split")))
+
+
+def candidate_deviations(links: DataFrame, assignment: DataFrame, group: str, label: str) -> DataFrame:
+    """(seed, deviation): mean over splits and labels of |share of the label in the split - share overall|.
+
+    links has a row per group and label. Labels travel with their group, so the counts are partial sums of one pass.
+    """
+    own = links.groupBy(group).agg(F.collect_set(label).alias("_labels"))  # one group's labels
+    tagged = assignment.join(own, group)
+    sizes = tagged.groupBy("seed", "split").agg(F.count("*").alias("_n"))
+    counts = tagged.select("seed", "split", F.explode("_labels").alias(label)).groupBy("seed", "split", label).agg(F.count("*").alias("_k"))
+    overall = own.select(F.explode("_labels").alias(label)).groupBy(label).agg(F.count("*").alias("_all")).crossJoin(F.broadcast(own.agg(F.count("*").alias("_groups"))))  # one row
+    grid = overall.crossJoin(F.broadcast(sizes)).join(counts, ["seed", "split", label], "left")  # three rows per candidate
+    gap = F.abs(F.coalesce("_k", F.lit(0)) / F.col("_n") - F.col("_all") / F.col("_groups"))
+    return grid.groupBy("seed").agg(F.avg(gap).alias("deviation"))
+
+
+def best_split(links: DataFrame, group: str, label: str, **parameters) -> DataFrame:
+    """(group, split, seed) of the candidate whose labels deviate least, the smallest seed on ties."""
+    assignment = split_candidates(links.select(group).distinct(), group, **parameters)
+    best = candidate_deviations(links, assignment, group, label).orderBy(F.round("deviation", 12), "seed").limit(1).select("seed")
+    return assignment.join(F.broadcast(best), "seed").select(group, "split", "seed")  # one row
+
+
+def sample_ids(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n keys without replacement, in order: those with the smallest hashes."""
+    return df.select(key).orderBy(hash_number(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
+
+
 def prevalence_deviation(links: DataFrame, entity: str, label: str, split: Column) -> DataFrame:
     """(split, deviation): mean over labels of |share in the split - share overall|."""
     tagged = links.withColumn("split", split)
@@ -25,22 +93,6 @@ def prevalence_deviation(links: DataFrame, entity: str, label: str, split: Colum
     return grid.groupBy("split").agg(F.avg(gap).alias("deviation"))
 
 
-def choose_split(links: DataFrame, entity: str, label: str, *, candidates: int = 50, seed: int = 42) -> int:
-    """The seed, of seed .. seed + candidates - 1, whose splits deviate least in label prevalence; the first on ties.
-
-    All candidates are one aggregation: each link is counted under every candidate's split.
-    """
-    options = F.array(*[F.struct(F.lit(s).alias("seed"), split_of(F.col(entity), s).alias("split")) for s in range(seed, seed + candidates)])
-    tagged = links.select(entity, label, F.inline(options))
-    n_split = tagged.groupBy("seed", "split").agg(F.count_distinct(entity).alias("n_split"))
-    counts = tagged.groupBy("seed", "split", label).agg(F.count_distinct(entity).alias("n"))
-    overall = links.groupBy(label).agg(F.count_distinct(entity).alias("n_label")).crossJoin(F.broadcast(links.agg(F.count_distinct(entity).alias("n_all"))))
-    grid = overall.crossJoin(F.broadcast(n_split)).join(counts, ["seed", "split", label], "left")  # three rows per candidate
-    gap = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_split") - F.col("n_label") / F.col("n_all"))
-    best = grid.groupBy("seed").agg(F.avg(gap).alias("d")).orderBy(F.round("d", 12), "seed").first()
-    return best["seed"] if best else seed
-
-
 def leaks(assignment: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that are in more than one split."""
     return assignment.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")

@@ -580,11 +580,34 @@ def label_prevalence_dev(spark, d):
     return rounded(P.prevalence_deviation(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", P.split_of(F.col("vec_id"), 42)))
 
 
-@query()
-def split_assignment_hash(spark, d):
+_U = lambda key: f"CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)"
+_CANDIDATES = f"""e AS (SELECT vec_id, label FROM embeddings), s AS (SELECT vec_id, label, CAST(unnest(range(42, 92)) AS INTEGER) AS seed FROM e),
+t AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_U("seed || ':' || vec_id")}, vec_id) <= ceil(round(0.15 * count(*) OVER (PARTITION BY seed), 9)) AS test FROM s),
+v AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_U("(seed + 1000) || ':' || vec_id")}, vec_id) <= ceil(round(0.15::DOUBLE / (1 - 0.15::DOUBLE) * count(*) OVER (PARTITION BY seed), 9)) AS val FROM t WHERE NOT test),
+a AS (SELECT seed, vec_id, label, 'test' AS split FROM t WHERE test UNION ALL SELECT seed, vec_id, label, CASE WHEN val THEN 'validation' ELSE 'train' END FROM v),
+n AS (SELECT seed, split, count(*) AS n FROM a GROUP BY 1, 2), k AS (SELECT seed, split, label, count(*) AS k FROM a GROUP BY 1, 2, 3), o AS (SELECT label, count(*) / (SELECT count(*) FROM e) AS o FROM e GROUP BY 1),
+d AS (SELECT n.seed, avg(abs(coalesce(k.k, 0) / n.n - o.o)) AS deviation FROM n CROSS JOIN o LEFT JOIN k ON k.seed = n.seed AND k.split = n.split AND k.label = o.label GROUP BY 1),
+b AS (SELECT seed FROM d ORDER BY round(deviation, 12), seed LIMIT 1)"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT seed, round(deviation, 9) AS deviation, sz.train, sz.validation, sz.test FROM d JOIN (SELECT seed, max(n) FILTER (split = 'train') AS train, max(n) FILTER (split = 'validation') AS validation, max(n) FILTER (split = 'test') AS test FROM n GROUP BY 1) sz USING (seed)")
+def split_candidates(spark, d):
     links_ = table(spark, d, "embeddings").select("vec_id", "label")
-    best = P.choose_split(links_, "vec_id", "label", candidates=8)
-    return P.assignment_hash(links_.withColumn("split", P.split_of(F.col("vec_id"), best)), "vec_id").withColumn("seed", F.lit(best))
+    candidates = P.split_candidates(links_.select("vec_id"), "vec_id")
+    sizes = candidates.groupBy("seed").agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
+    return rounded(P.candidate_deviations(links_, candidates, "vec_id", "label").join(sizes, "seed"), 9)
+
+
+@query(f"""WITH {_CANDIDATES}, c AS (SELECT seed, CAST('0x' || substr(sha256(vec_id || '=' || split), 1, 15) AS BIGINT)::HUGEINT AS h FROM a JOIN b USING (seed))
+SELECT sha256(CAST(sum(h) AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)) AS digest, max(seed) AS seed FROM c""")
+def split_assignment_hash(spark, d):
+    best = P.best_split(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label").cache()
+    return P.assignment_hash(best, "vec_id").crossJoin(best.agg(F.max("seed").alias("seed")))
+
+
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY {_U("'42:' || o_orderkey")}, o_orderkey LIMIT 200)")
+def seed_sample(spark, d):
+    return P.sample_ids(table(spark, d, "orders"), "o_orderkey", 200)
 
 
 # --- metrics -------------------------------------------------------------------------------------------------------
@@ -796,3 +819,6 @@ def user_sessions(spark, d):
     found = sessions(table(spark, d, "events").where("user_id is not null"))
     seconds = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
     return found.select("user_id", seconds("start").alias("start"), seconds("end").alias("end"), "events")
+
+
+from prismcat.plans import studies as _studies  # noqa: E402, F401  its queries join the catalogue

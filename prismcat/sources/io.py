@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import fields, is_dataclass
 from pathlib import Path
@@ -53,12 +54,18 @@ def read_bundle(spark: SparkSession, folder: str, tables: Sequence[str]) -> dict
     return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables}
 
 
-def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def _ordered(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Ranges of the order, each sorted: files in order without a sort in one task."""
+    return df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), order_by: Sequence[str] = ()) -> None:
+    """A Parquet table; with order_by its files, in order of their names, hold the rows in that order."""
+    _ordered(df, order_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, *, order_by: Sequence[str] = ()) -> None:
+    _ordered(df, order_by).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(report: Mapping, path: str) -> None:
@@ -67,9 +74,16 @@ def write_json(report: Mapping, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False, default=str), encoding="utf-8")
 
 
-def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
-    """Many JSON manifests as one table with the file each came from."""
-    return spark.read.option("multiLine", True).json(pattern).withColumn("file", F.input_file_name())
+def read_manifests(spark: SparkSession, pattern: str, order_by: Sequence[str] = ("experiment", "model_id")) -> DataFrame:
+    """Many JSON manifests as one table with the file each came from, in order of those of the columns that are there, then of the file."""
+    table = spark.read.option("multiLine", True).json(pattern).withColumn("file", F.input_file_name())
+    return table.orderBy(*[c for c in order_by if c in table.columns], "file")
+
+
+def size_on_disk(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder, in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return int(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
 
 
 def newest(folder: str, ending: str) -> Path:
@@ -99,17 +113,95 @@ def table_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.sum(h).cast("string").alias("digest"), F.count("*").alias("rows"))
 
 
-def config(kind: type[C], path: str) -> C:
-    """A dataclass from a JSON or YAML file; unknown keys are an error."""
+def settings(path: str) -> dict:
+    """A JSON or YAML file. Without PyYAML, YAML means nested mappings, lists and plain scalars, one to a line."""
     text = Path(path).read_text(encoding="utf-8")
-    if path.endswith((".yaml", ".yml")):
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError:
+        return _plain_yaml(text)
+    return yaml.safe_load(text)
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in "'\"" and text[:1] == text[-1:] and len(text) > 1:
+        return text[1:-1]
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(t) for t in text[1:-1].split(",") if t.strip()]
+    if text.lower() in ("", "~", "null"):
+        return None
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
         try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("YAML files need PyYAML") from e
-        values = yaml.safe_load(text)
-    else:
-        values = json.loads(text)
+            return kind(text)
+        except ValueError:
+            continue
+    return text
+
+
+def _plain_yaml(text: str) -> dict:
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in (re.sub(r"(^|\s)#.*", "", y).rstrip() for y in text.splitlines()) if x.strip()]
+
+    def block(k: int, depth: int):
+        out: dict | list | None = None
+        while k < len(lines) and lines[k][0] == depth:
+            line = lines[k][1]
+            if line.startswith("- "):
+                out = [] if out is None else out
+                out.append(_scalar(line[2:]))
+                k += 1
+                continue
+            name, colon, rest = line.partition(":")
+            if not colon:
+                raise ContractError(f"not a mapping: {line}")
+            out = {} if out is None else out
+            k += 1
+            if not rest.strip() and k < len(lines) and (lines[k][0] > depth or (lines[k][0] == depth and lines[k][1].startswith("- "))):
+                out[_scalar(name)], k = block(k, lines[k][0])
+            else:
+                out[_scalar(name)] = _scalar(rest)
+        return out, k
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def read_configured(spark: SparkSession, config_path: str, path: str | None = None, *, key: str = "dataset_path", schema: T.StructType | None = None) -> DataFrame:
+    """The CSV file that a configuration names, unless a path is given."""
+    where = path or settings(config_path).get(key)
+    if not where:
+        raise ContractError(f"{config_path} has no {key}")
+    return read_csv(spark, where, schema)
+
+
+def read_presets(path: str, features: Sequence[str]) -> list:
+    """Preference profiles of a configuration, each with values and weights for all features; weights within weight_scale."""
+    from prismcat.operators.recommend import Profile
+
+    found = settings(path)
+    low, high = found.get("weight_scale", {}).get("min", 0), found.get("weight_scale", {}).get("max", 3)
+    out = []
+    for name, parts in found["presets"].items():
+        for part in ("values", "weights"):
+            if set(parts[part]) != set(features):
+                raise ContractError(f"{name}: {part} are for {sorted(parts[part])}, not for {sorted(features)}")
+        if any(not low <= w <= high for w in parts["weights"].values()):
+            raise ContractError(f"{name}: weights lie between {low} and {high}")
+        out.append(Profile(name, tuple(float(parts["values"][f]) for f in features), tuple(float(parts["weights"][f]) for f in features)))
+    return out
+
+
+def read_model_parameters(path: str, model: str) -> dict:
+    """The parameters of one model; KeyError without them."""
+    return dict(settings(path)["models"][model])
+
+
+def config(kind: type[C], path: str) -> C:
+    """A dataclass from a JSON or YAML file; unknown keys are an error."""
+    values = settings(path)
     assert is_dataclass(kind)
     unknown = set(values) - {f.name for f in fields(kind)}
     if unknown:

@@ -1,12 +1,16 @@
 import math
 import random
+import shutil
+from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from prismcat.functions import features as X, text as S, vectors as V
 from prismcat.operators import identity as I, metrics as M, quality as Q, recommend as R, search as C, splits as P, stats as A
+from prismcat.operators.quality import ContractError
 from prismcat.plans.prepare import PrepareRules, prepare
 from prismcat.sources import io, warehouse
 
@@ -293,11 +297,155 @@ def test_sources(spark, tmp_path):
     assert io.table_hash(df).first() == io.table_hash(df.orderBy(F.desc("id"))).first()
 
 
-def test_warehouse_rules(spark):
-    results = spark.createDataFrame([(1, 0, "a", None, None), (1, 1, "b", None, None)], warehouse.TABLES["recommendation_results"])
-    assert {r["check"]: r["violations"] for r in warehouse.violations("recommendation_results", results).collect()} == {"position": 1, "similarity": 0}
+def test_warehouse_rules(spark, tmp_path):
+    assert sum(len(t) for t in warehouse.TABLES.values()) == 47
+    results = spark.createDataFrame([("e1", 0, "g", "t", None, None, None), ("e1", 1, "g", None, Decimal("1.5"), Decimal("-1"), None)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in warehouse.TABLES["recommendation_results"].fields))
+    broken = {r["check"]: r["violations"] for r in warehouse.violations("recommendation_results", results).collect() if r["violations"]}
+    assert broken == {"result_position": 1, "similarity_score": 1, "distance_score": 1, "recommended_track_id not null": 1}
     events = spark.createDataFrame([], warehouse.TABLES["recommendation_events"])
     assert warehouse.broken_references({"recommendation_results": results, "recommendation_events": events})["recommendation_results.event_id"] == 2
+    assert warehouse.repeated_keys("recommendation_results", results.unionByName(results)).count() == 2
+    sessions = spark.createDataFrame([("s1",), ("s2",)], "session_id string")
+    events = spark.createDataFrame([("e1", "s1"), ("e2", "s2")], "event_id string, session_id string")
+    left = warehouse.delete_cascade({"app_sessions": sessions, "recommendation_events": events, "recommendation_results": results}, "app_sessions", sessions.where("session_id = 's1'"))
+    assert {t: df.count() for t, df in left.items()} == {"app_sessions": 1, "recommendation_events": 1, "recommendation_results": 0}
+    seen = warehouse.introspect(spark)
+    assert [r[0] for r in seen["tables"].collect()] == sorted(warehouse.COLUMNS) and seen["columns"].count() == 47
+    assert seen["keys"].where("kind = 'foreign'").count() == 5 and seen["checks"].count() == 13 and seen["indexes"].select("table_name", "index_name").distinct().count() == 11
+
+
+def test_warehouse_tables_in_a_database(spark):
+    assert set(warehouse.missing_columns(spark, "default")) >= set(warehouse.COLUMNS)
+    try:
+        warehouse.create_tables(spark, "prismcat_test")
+        assert warehouse.missing_columns(spark, "prismcat_test") == []
+    finally:
+        spark.sql("drop database if exists prismcat_test cascade")
+
+
+def test_built_index(spark, data, tmp_path):
+    from prismcat.operators import index as N
+    from prismcat.plans.catalog import item_catalog
+
+    path, items = str(tmp_path / "index"), item_catalog(spark, data("sf0.001"))
+    with pytest.raises(FileNotFoundError, match="items, statistics, manifest"):
+        N.load_index(spark, path)
+    N.build_index(items, path, reference=True)
+    index = N.load_index(spark, path)
+    ids = [r["id"] for r in index.items.collect()]
+    assert ids == sorted(ids) and len(ids) == index.manifest["rows"] == items.where("not incomplete").count()
+    assert index.statistics.first()["p95"] < index.statistics.first()["p99"]
+    with pytest.raises(KeyError):
+        N.similar_in(index, -5)
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,0)]" in index.items.where("id = 0")._jdf.queryExecution().toString()
+    index.items.limit(3).write.mode("overwrite").parquet(path + "2/items")
+    for part in ("statistics", "manifest"):
+        shutil.copytree(f"{path}/{part}", f"{path}2/{part}")
+    with pytest.raises(ValueError):
+        N.load_index(spark, path + "2")
+
+
+def test_smallest_is_exact(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), P.hash_number(F.col("id"), F.lit(1)).alias("h"))
+    for share in (0.0, 0.15, 0.5, 1.0):
+        got = P.smallest(rows, ["g"], "h", "id", F.lit(share)).where("taken").collect()
+        for g in (0, 1):
+            own = sorted((r["h"], r["id"]) for r in rows.where(F.col("g") == g).collect())
+            assert sorted((r["h"], r["id"]) for r in got if r["g"] == g) == own[: math.ceil(round(share * len(own), 9))]
+
+
+def test_split_carves_test_first(spark):
+    sizes = {r["split"]: r["count"] for r in P.split_candidates(spark.range(1, 1001), "id", candidates=1).groupBy("split").count().collect()}
+    assert sizes == {"test": 150, "validation": 150, "train": 700}
+
+
+def test_datasets(spark):
+    from prismcat.operators import datasets as D
+
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0), (3, 5.0, 6.0)], "id long, a double, b double")
+    links = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (2, "y")], "id long, label string")
+    assert sorted(tuple(map(str, r)) for r in D.multilabel_dataset(rows, links, ["a", "b"]).collect()) == [("1", "[1.0, 2.0]", "[1, 1]"), ("2", "[3.0, 4.0]", "[0, 1]")]
+    assert [r["label"] for r in D.multiclass_dataset(rows, links, ["a"]).collect()] == ["y"]
+    good = D.multilabel_dataset(rows, links, ["a", "b"])
+    D.check_dataset(good)
+    for bad in (good.unionByName(good), good.withColumn("y", F.when(F.col("id") == 1, F.array(F.lit(1).cast("tinyint"))).otherwise(F.col("y"))), good.withColumn("x", F.array(F.lit(None).cast("double")))):
+        with pytest.raises(ContractError):
+            D.check_dataset(bad)
+    with pytest.raises(ValueError):
+        D.apply_policy(rows, "C", F.lit(False), ["a"], F.lit(True))
+    one = rows.select(D.score_matrix([F.col("a"), D.last_of(F.array("a", "b")), D.last_of(F.array("a"))]).alias("s")).first()
+    assert one["s"] == [1.0, 2.0, 0.0]
+    scores = spark.createDataFrame([(1, [0.2, 0.9, 0.2])], "id long, scores array<double>")
+    assert [tuple(r) for r in D.serve(scores, "id", 1, ["p", "q", "r"], k=2, threshold=0.5).collect()] == [(1, "q", 0.9, True), (2, "p", 0.2, False)]
+    assert D.serve(scores, "id", 9, ["p", "q", "r"]).count() == 0
+
+
+def test_configuration(spark, tmp_path):
+    text = "# a comment\nversion: 'v1'\nweight_scale:\n  min: 0\n  max: 3\npresets:\n  calm:\n    label: \"Calm\"\n    values:\n      energy: 0.5\n      tempo: 90\n    weights:\n      energy: 1\n      tempo: 3\nfilters:\n  explicit: non_explicit\n  genres:\n  - a\n  - b\nmodels:\n  M1: \n    c: 1.5\n    on: true\n  M2: [1, x]\n"
+    path = tmp_path / "c.yaml"
+    path.write_text(text)
+    assert io._plain_yaml(text)["models"] == {"M1": {"c": 1.5, "on": True}, "M2": [1, "x"]}
+    assert io.read_presets(str(path), ["energy", "tempo"]) == [R.Profile("calm", (0.5, 90.0), (1.0, 3.0))]
+    assert io.read_model_parameters(str(path), "M1")["c"] == 1.5
+    with pytest.raises(KeyError):
+        io.read_model_parameters(str(path), "M9")
+    with pytest.raises(ContractError):
+        io.read_presets(str(path), ["energy"])
+    assert R.Filters.from_config(io.settings(str(path))["filters"]) == R.Filters(explicit="non_explicit", genres=("a", "b"))
+    with pytest.raises(ValueError):
+        R.Filters.from_config({"colour": 1})
+    (tmp_path / "raw.csv").write_text("id,x\n1,a\n")
+    (tmp_path / "d.json").write_text('{"dataset_path": "%s"}' % (tmp_path / "raw.csv"))
+    assert io.read_configured(spark, str(tmp_path / "d.json")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        io.read_configured(spark, str(tmp_path / "d.json"), str(tmp_path / "none.csv"))
+    assert len(R.PRESETS) == 7 and R.preset("fiesta").weights[1] == 3
+    with pytest.raises(KeyError):
+        R.preset("none")
+
+
+def test_sinks_keep_order(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), "id").repartition(5)
+    io.write_parquet(df, str(tmp_path / "p"), order_by=["k"])
+    import pyarrow.parquet as pq
+
+    files = sorted((tmp_path / "p").glob("*.parquet"))
+    assert files and [v for f in files for v in pq.read_table(f)["k"].to_pylist()] == list(range(1000))
+    io.write_csv(df, str(tmp_path / "c"), order_by=["k"])
+    assert "".join(f.read_text() for f in sorted((tmp_path / "c").glob("*.csv"))).count("\n") >= 1000
+    for name, (e, m) in {"b": ("x", "2"), "a": ("x", "1"), "c": ("a", "9")}.items():
+        io.write_json({"experiment": e, "model_id": m}, str(tmp_path / "m" / f"{name}.json"))
+    assert [r["model_id"] for r in io.read_manifests(spark, str(tmp_path / "m" / "*.json")).collect()] == ["9", "1", "2"]
+    assert io.size_on_disk(spark, str(tmp_path / "m")) >= 3 * 30
+
+
+def test_experiment_rules():
+    import re
+
+    from prismcat.operators import models as L
+
+    with pytest.raises(ValueError):
+        L.multilabel(None, None, [], [], "xgboost")
+    with pytest.raises(ValueError):
+        L.multiclass(None, None, [], "y", "xgboost")
+    with pytest.raises(PermissionError):
+        L.final_test(False, lambda: None)
+    assert L.final_test(True, lambda: 5) == 5 and L.timed(lambda: None) >= 0
+    assert re.fullmatch(r"\d{8}-\d{4}_m", L.experiment_manifest("m", "k", ["a"], {}, {})["id"])
+
+
+def test_knn_join_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for metric in ("cosine", "euclidean"):
+        got = {(r["a"], r["rank"]): r["b"] for r in V.knn_join(df.where("id % 9 = 0"), df, "id", "v", 4, block=20, metric=metric).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i in range(0, 90, 9):
+            s = u @ u[i] if metric == "cosine" else -np.linalg.norm(x - x[i], axis=1)
+            s[i] = -np.inf
+            assert [got[i, r] for r in range(1, 5)] == np.argsort(-s, kind="stable")[:4].tolist()
+        assert len(got) == 40
 
 
 def test_streams(spark, data, tmp_path):
