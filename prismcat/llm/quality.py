@@ -288,6 +288,7 @@ def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFr
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")  # gives back what the stage before has left, ahead of the model
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 scores = shared.value.score(batch.column("text").to_pylist())

@@ -38,11 +38,11 @@ THRESHOLD = 0.7
 #: Neighbours and terms of each that the evidence names.
 SHOWN, WORDS = 3, 5
 #: Documents that are searched at once, and blocks that each reads before the others are pruned.
-ROWS, FIRST = 32, 8
+ROWS, FIRST = 16, 8
 #: Terms are looked up for about so many bytes of text at once.
 SLICE = 1_000_000
 #: Terms that more than so large a part of the examples have are kept as full rows of the index.
-DENSE = 20
+DENSE = 12
 
 #: Besides whole words, their first START bytes are terms: endings vary. Runs of more than LONG bytes, as in scripts
 #: without spaces, count as their windows of WINDOW bytes instead.
