@@ -17,7 +17,7 @@ from prismcat.llm import bpe, mixing, ngram_join, quality, toxicity
 from prismcat.llm.common import read, written
 
 #: Words whose ids a worker keeps in the last stage, beside what earlier stages have left in its memory.
-WORDS = 150_000
+WORDS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
