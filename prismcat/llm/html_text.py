@@ -451,8 +451,12 @@ def main_text(page: str | None, weights: np.ndarray = START) -> str:
 
 def classifier(pages: DataFrame, column: str = "html") -> np.ndarray:
     """fit_costs on a bounded sample: the first pages by hash, as far as they are not too long."""
-    short = pages.select(F.col(column).alias("h")).where(F.length("h") <= CHARACTERS // PAGES)
-    return fit_costs(r["h"] for r in short.orderBy(F.xxhash64("h"), "h").limit(PAGES).collect())
+    short = pages.select(F.col(column).alias("h"), F.xxhash64(column).alias("k")).where(F.length("h") <= CHARACTERS // PAGES)
+    keys = [r["k"] for r in short.select("k").distinct().orderBy("k").limit(PAGES).collect()]  # hashes alone, so tasks send little
+    if not keys:
+        return START.copy()
+    chosen = short.where(F.col("k") <= keys[-1]).groupBy("k").agg(F.min("h").alias("h"))  # copies of a page count once
+    return fit_costs(r["h"] for r in chosen.orderBy("k").collect())
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
