@@ -45,6 +45,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([(None, 1), (2, 2)], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize(("hubs", "hub"), [(10_000, 64), (10_000, 3), (20, 3), (1, 1)])
+def test_components_with_hubs(spark, hubs, hub):
+    """Hubs above, below and between their neighbours, hubs on a path, and a double edge each."""
+    edges = [(3000, k) for k in range(2800, 3200) if k != 3000] + [(9000, k) for k in range(8700, 9000)] + [(10, k) for k in range(11, 200, 2)]
+    edges += [(199, 2800)] + [(20_000 + k, 20_000 + k // 5) for k in range(1, 300)]
+    edges += [(b, a) for a, b in edges[::3]]
+    sets = Sets()
+    for a, b in edges:
+        sets.join(a, b)
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    got = {r["id"]: r["component"] for r in connected_components(frame, hubs=hubs, hub=hub).collect()}
+    assert got == {x: sets.root(x) for x in {y for e in edges for y in e}}
+
+
+
 def brute_embeddings(rows):
     sets, links = Sets(), dict.fromkeys((i for i, *_ in rows), 0)
     for i, *_ in rows:
