@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismcat.llm.common import written
+from prismcat.llm.common import freed, written
 
 #: At most so many nodes are hubs, and a node of so few edges is none.
 HUBS, HUB = 10_000, 64
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, *, rounds: int = 100, hubs: int = HUB
     spark = edges.sparkSession
     u, v = edges.columns[:2]
     pairs = edges.select(F.col(u).cast("long").alias("a"), F.col(v).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = written(spark, pairs.mapInArrow(_stars, "a long, b long").distinct(), "edges")
+    now = written(spark, pairs.mapInArrow(freed(_stars), "a long, b long").distinct(), "edges")
     for _ in range(rounds):
         # done: each node points to one other, and what is pointed to points nowhere
         state = now.agg(F.count("*").alias("n"), F.count_distinct("a").alias("m")).first()

@@ -41,7 +41,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prismcat.llm.common import give_back, read, worker_cache, written
+from prismcat.llm.common import freed, read, worker_cache, written
 from prismcat.llm.components import connected_components, union_find
 from prismcat.llm.pieces import slices
 
@@ -164,15 +164,17 @@ def _deal(words: int, blocks: int):
                         out.append((b, number, GRAMS, [n_docs], packer.compress(g[a:z].tobytes() + (o[a:z].astype("<u2") if n_docs < 65535 else o[a:z]).tobytes())))
                 yield _rows(out)
                 number += 1
-        give_back()
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, by block: for each slice, how many of each document's n-grams another slice has too."""
-    opener = zstandard.ZstdDecompressor()
-    grams, owners, which, blocks, sources, docs = [], [], [], [], [], []
+    """Step 1, by block: for each slice, how many of each document's n-grams another slice has too.
+
+    An n-gram and its place in the block are one number of 64 bits, sorted where it lies: some 25 bytes an n-gram at most.
+    """
+    opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    found: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         out = []
         for block, number, kind, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -182,34 +184,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_docs, data = ids[0], opener.decompress(data)
             width = 2 if n_docs < 65535 else 4
             n = len(data) // (4 + width)
-            grams.append(np.frombuffer(data, "<u4", n))
-            owners.append(np.frombuffer(data, f"<u{width}", n, 4 * n).astype(np.uint32))
-            which.append(np.full(n, len(sources), np.int32))
-            blocks.append(np.full(n, block, np.int32))
-            sources.append((block, number))
-            docs.append(n_docs)
+            found.setdefault(block, []).append((number, n_docs, np.frombuffer(data, "<u4", n), np.frombuffer(data, f"<u{width}", n, 4 * n)))
+        del batch
         if out:
             yield _rows(out)
-    if not sources:
-        return
-    g, o, w, b = np.concatenate(grams), np.concatenate(owners), np.concatenate(which), np.concatenate(blocks)
-    order = np.lexsort((g, b)) if len(set(s[0] for s in sources)) > 1 else np.argsort(g, kind="stable")
-    g, o, w, b = g[order], o[order], w[order], b[order]
-    same = np.zeros(len(g), bool)
-    same[1:] = (g[1:] == g[:-1]) & (b[1:] == b[:-1])
-    shared = same.copy()
-    shared[:-1] |= same[1:]
-    o, w = o[shared], w[shared]
-    by = np.argsort(w, kind="stable")
-    o, w = o[by], w[by]
-    cuts = np.searchsorted(w, np.arange(len(sources) + 1))
-    packer = zstandard.ZstdCompressor(level=1)
-    for k, (block, number) in enumerate(sources):
-        counts = np.bincount(o[cuts[k] : cuts[k + 1]], minlength=docs[k] + 1)[: docs[k]]
-        if counts.any():
-            yield _rows([(block, number, COUNTS, None, packer.compress(counts.astype("<u4").tobytes()))])
-    del grams, owners, which, blocks, g, o, w, b, same, shared, order, by
-    give_back()
+    for block in list(found):
+        slices_of = found.pop(block)
+        starts = np.cumsum([0, *(len(g) for *_, g, _ in slices_of)])
+        key = np.empty(starts[-1], np.uint64)
+        for at, (*_, g, _) in zip(starts[:-1], slices_of, strict=True):
+            part = key[at : at + len(g)]
+            part[:] = g
+            part <<= _U(32)
+            part |= np.arange(at, at + len(g), dtype=np.uint64)
+        key.sort()
+        same = key[1:] ^ key[:-1] < _U(1 << 32)
+        shared = np.zeros(len(key), bool)
+        shared[1:] = same
+        shared[:-1] |= same
+        place = key[shared]
+        del key, same, shared
+        place &= _U(0xFFFFFFFF)
+        place.sort()
+        cuts = np.searchsorted(place, starts.astype(np.uint64))
+        for k, (number, n_docs, _, owner) in enumerate(slices_of):
+            own = owner[(place[cuts[k] : cuts[k + 1]] - _U(starts[k])).astype(np.int64)]
+            counts = np.bincount(own, minlength=n_docs + 1)[:n_docs]
+            if counts.any():
+                yield _rows([(block, number, COUNTS, None, packer.compress(counts.astype("<u4").tobytes()))])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +384,7 @@ def _count_links(share: tuple[int, int]):
 
 def _links_of(sets: DataFrame, alike: DataFrame, groups: DataFrame, share: tuple[int, int], task: int) -> DataFrame:
     """n, h1, h2 of a set and its links with rows of other sets. All pairs of chunks of a group are tasks."""
-    keyed = sets.mapInArrow(_set_hashes, "id long, n long, h1 long, h2 long, grams array<bigint>")
+    keyed = sets.mapInArrow(freed(_set_hashes), "id long, n long, h1 long, h2 long, grams array<bigint>")
     keyed = keyed.join(alike.select(F.col("rep").alias("id"), "n", "h1", "h2", "copies"), ["id", "n", "h1", "h2"]).dropDuplicates(["id", "n", "h1", "h2"])
     placed = written(sets.sparkSession, keyed.join(groups, "id"), "placed")
     weights = placed.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
@@ -392,7 +394,7 @@ def _links_of(sets: DataFrame, alike: DataFrame, groups: DataFrame, share: tuple
     rows = rows.withColumn("side", F.when(F.col("a") == F.col("b"), 0).when(F.col("chunk") == F.col("a"), 1).otherwise(2))
     key = ["comp", "a", "b"]
     tasks = rows.select(*key, "n", "h1", "h2", "copies", "side", "grams").repartition(*key).sortWithinPartitions(*key)
-    found = tasks.mapInArrow(_count_links(share), "n long, h1 long, h2 long, links long")
+    found = tasks.mapInArrow(freed(_count_links(share)), "n long, h1 long, h2 long, links long")
     return written(sets.sparkSession, found.groupBy("n", "h1", "h2").agg(F.sum("links").alias("links")), "counted")
 
 
@@ -434,7 +436,7 @@ def _solve(tasks: DataFrame, share: tuple[int, int]) -> DataFrame:
     """tasks: comp, a, b (the task), id, grams, side, known."""
     key = ["comp", "a", "b"]
     order = tasks.select(*key, "id", "grams", "side", "known").repartition(*key).sortWithinPartitions(*key, "id")
-    return order.mapInArrow(_join(share), "u long, v long")
+    return order.mapInArrow(freed(_join(share)), "u long, v long")
 
 
 def jaccard_links(docs: DataFrame, **parameters) -> DataFrame:
@@ -455,11 +457,11 @@ def jaccard_components(
     blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BLOCKS, size // (WORD_BYTES * block)))
     info = written(
         spark,
-        texts.mapInArrow(_deal(words, blocks), _ROWS)
+        texts.mapInArrow(freed(_deal(words, blocks)), _ROWS)
         .repartitionById(blocks, F.col("block"))
-        .mapInArrow(_count, _ROWS)
+        .mapInArrow(freed(_count), _ROWS)
         .repartition("slice")
-        .mapInArrow(_sum, "doc_id long, n long, h1 long, h2 long, shared long"),
+        .mapInArrow(freed(_sum), "doc_id long, n long, h1 long, h2 long, shared long"),
         "sizes",
     )
     equal = info.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"), *[F.count("*").alias("copies")] * count)
@@ -471,7 +473,7 @@ def jaccard_components(
     words_set = stay.select(slot("rep").alias("s")).groupBy(F.expr("s div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, s % 8))").alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     bits[words_set["byte"].to_numpy(np.int64)] = words_set["bits"].to_numpy(np.int64).astype(np.uint8)
-    passed = texts.where("doc_id is not null").withColumn("slot", slot("doc_id")).mapInArrow(_sets(words, bits), "id long, n long, grams array<bigint>")
+    passed = texts.where("doc_id is not null").withColumn("slot", slot("doc_id")).mapInArrow(freed(_sets(words, bits)), "id long, n long, grams array<bigint>")
     sets = written(spark, passed.join(stay.select(F.col("rep").alias("id"), "n").distinct(), ["id", "n"], "left_semi"), "sets")
 
     # The rarest n-grams of each document that stays, as far as others have them; documents meet in them.

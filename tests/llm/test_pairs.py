@@ -4,12 +4,15 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
+import weakref
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from prismcat.llm import embedding_dedup as E, ngram_join as N
+from prismcat.llm import common, embedding_dedup as E, ngram_join as N
 from prismcat.llm.components import connected_components
 from prismcat.llm.queries import ORACLES, QUERIES
 
@@ -223,3 +226,34 @@ def test_local_links_with_sides():
         if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j])):
             want.join(i, j)
     assert [joined.root(k) for k in range(6)] == [want.root(k) for k in range(6)]
+
+
+def test_block_is_counted_in_little_memory():
+    rng, opener, rows, held = np.random.default_rng(5), zstandard.ZstdDecompressor(), [], []
+    for number in range(4):  # two blocks in one task; grams of a block in order, as they come
+        for block in (3, 8):
+            g, o = np.sort(rng.choice(4_000_000, 400_000, replace=False).astype("<u4")), rng.integers(0, 1001, 400_000).astype("<u2")
+            rows.append((block, number, N.GRAMS, [1000], zstandard.ZstdCompressor().compress(g.tobytes() + o.tobytes())))
+            held.append((block, number, g, o))
+    batch = N._rows(rows)
+    tracemalloc.start()
+    out = [r for b in N._count(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 400_000 * len(held)
+    found = {(r["block"], r["slice"]): np.frombuffer(opener.decompress(r["data"]), "<u4") for r in out}
+    for block, number, g, o in held:
+        others = np.concatenate([x for b, n, x, _ in held if b == block and n != number])
+        assert (found[block, number] == np.bincount(o[np.isin(g, others)], minlength=1001)[:1000]).all()
+
+
+def test_tasks_give_memory_back_when_their_variables_are_gone(monkeypatch):
+    seen = []
+
+    def run(batches):
+        large = np.zeros(10)
+        seen.append(weakref.ref(large))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(seen[0]()))
+    assert list(common.freed(run)(iter([1, 2]))) == [1, 2] and seen[1:] == [None]
