@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismcat.functions import features as X, text as S, vectors as V
 from prismcat.operators import identity as I, metrics as M, quality as Q, recommend as R, search as C, splits as P, stats as A
 from prismcat.operators.quality import ContractError
+from prismcat.plans.catalog import QUERIES
 from prismcat.plans.prepare import PrepareRules, prepare
 from prismcat.sources import io, warehouse
 
@@ -459,3 +460,37 @@ def test_streams(spark, data, tmp_path):
     streamed = {tuple(r)[:3] for r in spark.table("counts").collect()}
     assert streamed == {tuple(r)[:3] for r in windowed_counts(events).collect()} and streamed
     assert sessions(events).agg(F.sum("events")).first()[0] == events.where("user_id is not null").count()
+
+
+def test_block_links_equal_pairs(spark):
+    rng = random.Random(8)
+    # copies, gaps of exactly the tolerance that rounding puts on either side, values below zero, a hot block, distant runs
+    rows = [(k, rng.choice(["a b", "A, b", "c", "", None]), rng.choice([rng.randrange(-900, 1600) / 10 * 2, 1010.1, 1030.1, 990.1, 1e-10, -20.0, 20.0, 0.1 * 3, 20.3, None])) for k in range(700)]
+    rows += [(9000, "c", 5000.0), (9001, "c", 5020.0), (9002, "c", 5040.0), (9003, "c", 5060.5)]
+    odd = [(9100, "c", math.inf), (9101, "c", math.inf), (9102, "c", math.nan), (9103, "c", math.nan), (9104, "c", -math.inf)]
+    df = spark.createDataFrame(rows, "k long, t string, x double")
+    found = I.block_links(df.unionByName(spark.createDataFrame(odd, df.schema)), "k", "t", "x", 20.0)
+    pairs = [(r["a"], r["b"]) for r in I.block_pairs(df, "k", "t", "x", 20.0).collect()]
+    parent, links = {k: k for k, *_ in rows}, {k: 0 for k, *_ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    expected = {(k, links[k], root(k)) for k, t, x in rows if t and x is not None}
+    expected |= {(k, 0, k) for k, *_ in odd}
+    got = found.collect()
+    assert {(r["id"], r["n_links"], r["component_id"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_text_blocks_of_many_copies_make_a_row_each(spark, tmp_path, data):
+    spark.read.parquet(f"{data('sf0.001')}/part.parquet").crossJoin(spark.range(200).toDF("i")).withColumn("p_partkey", F.col("p_partkey") + 1_000_000 * F.col("i")).drop("i").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["near_dup_text_block"](spark, str(tmp_path))
+    total = df.agg(F.count("*").alias("n"), F.min("n_links").alias("least"), F.countDistinct("component_id").alias("groups")).first()
+    assert total["n"] == 200 * spark.read.parquet(f"{data('sf0.001')}/part.parquet").count() and total["least"] >= 199
