@@ -21,60 +21,97 @@ def hash_number(group: Column, seed: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(":"), group.cast("string"))), 1, 13), 16, 10).cast("long")
 
 
-def smallest(df: DataFrame, keys: Sequence[str], number: str, id_: str, share: Column) -> DataFrame:
-    """df with `taken`: whether a row is among the ceil(share * rows) smallest of its keys by number (52 bits), then id.
+def cuts(df: DataFrame, keys: Sequence[str], number: str, id_: str, share: Column) -> DataFrame:
+    """(keys, cut): the greatest (number, id) among the ceil(share * rows) smallest of each key, numbers of 52 bits; a row per key.
 
     Counts by the number's first bits find the slot in which the cut falls; only that slot's rows are put in order.
     """
     slots = df.withColumn("_slot", F.shiftright(F.col(number), 52 - SLOT_BITS))
     counts = slots.groupBy(*keys, "_slot").agg(F.count("*").alias("_k"))
-    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # over 2**SLOT_BITS rows at most
+    before = W.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)  # over 2**SLOT_BITS rows at most
     want = F.ceil(F.round(share * F.sum("_k").over(W.partitionBy(*keys)), 9)).cast("long")
-    left = counts.withColumn("_left", want - F.coalesce(F.sum("_k").over(before), F.lit(0))).select(*keys, "_slot", "_k", "_left")
-    placed = slots.join(left, [*keys, "_slot"])
-    sure = placed.where("_left <= 0 or _left >= _k").withColumn("taken", F.col("_left") > 0)
-    cut = placed.where("_left > 0 and _left < _k")
-    order = W.partitionBy(*keys, "_slot").orderBy(number, id_)
-    return sure.unionByName(cut.withColumn("taken", F.row_number().over(order) <= F.col("_left"))).drop("_slot", "_k", "_left")
+    left = counts.withColumn("_left", want - F.coalesce(F.sum("_k").over(before), F.lit(0))).where("_left > 0 and _left <= _k")
+    near = slots.join(F.broadcast(left.select(*keys, "_slot", "_left")), [*keys, "_slot"])  # a row per key
+    order = W.partitionBy(*keys).orderBy(number, id_)
+    return near.withColumn("_at", F.row_number().over(order)).where("_at = _left").select(*keys, F.struct(F.col(number).alias("number"), F.col(id_).alias("id")).alias("cut"))
+
+
+def smallest(df: DataFrame, keys: Sequence[str], number: str, id_: str, share: Column) -> DataFrame:
+    """df with `taken`: whether a row is among the ceil(share * rows) smallest of its keys by number (52 bits), then id."""
+    placed = df.join(cuts(df, keys, number, id_, share), keys, "left")
+    return placed.withColumn("taken", _up_to(F.col(number), id_, "cut")).drop("cut")
 
 
 #: A cut is looked for in 2**SLOT_BITS slots.
 SLOT_BITS = 12
 
 
-def split_candidates(groups: DataFrame, group: str, *, candidates: int = 50, seed: int = 42, validation: float = VALIDATION, test: float = TEST) -> DataFrame:
-    """(seed, group, split) for every candidate seed: test is carved first, then validation from the rest with seed + 1000.
+def _up_to(number: Column, group: str, cut: str) -> Column:
+    """Whether a group is among those of a cut; without a cut or a number it is not."""
+    return F.coalesce(number.isNotNull() & (F.struct(number.alias("number"), F.col(group).alias("id")) <= F.col(cut)), F.lit(False))
 
-    Sizes are exact: ceil(test * n), then ceil(validation / (1 - test) * rest). `groups` has one row per group.
-    """
+
+def candidate_bounds(groups: DataFrame, group: str, *, candidates: int = 50, seed: int = 42, validation: float = VALIDATION, test: float = TEST) -> DataFrame:
+    """(seed, test_cut, validation_cut): where each candidate's splits end. These few rows are all that a plan on the splits needs."""
     rows = groups.select(group, F.explode(F.sequence(F.lit(seed), F.lit(seed + candidates - 1))).alias("seed"))
-    first = smallest(rows.withColumn("_h", hash_number(F.col(group), F.col("seed"))), ["seed"], "_h", group, F.lit(test))
-    rest = first.where("not taken").drop("taken").withColumn("_h", hash_number(F.col(group), F.col("seed") + 1000))
-    second = smallest(rest, ["seed"], "_h", group, F.lit(validation / (1 - test)))
-    name = F.when(F.col("taken"), "validation").otherwise("train")
-    return first.where("taken").select("seed", group, F.lit("test").alias("split")).unionByName(second.select("seed", group, name.alias("split")))
+    own, again = hash_number(F.col(group), F.col("seed")), hash_number(F.col(group), F.col("seed") + 1000)
+    first = cuts(rows.withColumn("_h", own), ["seed"], "_h", group, F.lit(test)).withColumnRenamed("cut", "test_cut").cache()  # a row per candidate
+    rest = rows.join(F.broadcast(first), "seed").where(~_up_to(own, group, "test_cut")).withColumn("_h", again)
+    second = cuts(rest, ["seed"], "_h", group, F.lit(validation / (1 - test))).withColumnRenamed("cut", "validation_cut")
+    return first.join(F.broadcast(second), "seed", "left").cache()
 
 
-def candidate_deviations(links: DataFrame, assignment: DataFrame, group: str, label: str) -> DataFrame:
-    """(seed, deviation): mean over splits and labels of |share of the label in the split - share overall|.
+def splits_of(groups: DataFrame, group: str, bounds: DataFrame) -> DataFrame:
+    """groups with seed and split, once for each row of candidate_bounds; no shuffle."""
+    own, again = hash_number(F.col(group), F.col("seed")), hash_number(F.col(group), F.col("seed") + 1000)
+    name = F.when(_up_to(own, group, "test_cut"), "test").when(_up_to(again, group, "validation_cut"), "validation").otherwise("train")
+    return groups.crossJoin(F.broadcast(bounds)).withColumn("split", name).drop("test_cut", "validation_cut")  # a row per candidate
 
-    links has a row per group and label. Labels travel with their group, so the counts are partial sums of one pass.
+
+def split_candidates(groups: DataFrame, group: str, **parameters) -> DataFrame:
+    """(seed, group, split) for every candidate seed: test is carved first, then validation from the rest with seed + 1000.
+
+    Sizes are exact: ceil(test * n), then ceil(validation / (1 - test) * rest). `groups` has one row per group; parameters
+    are those of candidate_bounds.
     """
-    own = links.groupBy(group).agg(F.collect_set(label).alias("_labels"))  # one group's labels
-    tagged = assignment.join(own, group)
-    sizes = tagged.groupBy("seed", "split").agg(F.count("*").alias("_n"))
-    counts = tagged.select("seed", "split", F.explode("_labels").alias(label)).groupBy("seed", "split", label).agg(F.count("*").alias("_k"))
+    return splits_of(groups.select(group), group, candidate_bounds(groups, group, **parameters)).select("seed", group, "split")
+
+
+def _with_labels(links: DataFrame, group: str, label: str) -> DataFrame:
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number, which keeps small rows, of much work each, apart
+    return links.repartition(parts, group).groupBy(group).agg(F.collect_set(label).alias("_labels"))  # one group's labels
+
+
+def _deviations(tagged: DataFrame, own: DataFrame, label: str) -> DataFrame:
+    """tagged: the rows of own (group, _labels) with seed and split. One pass counts rows and labels."""
+    kind = next(f.dataType.elementType for f in own.schema.fields if f.name == "_labels")
+    marked = F.explode(F.concat(F.array(F.lit(None).cast(kind)), "_labels")).alias(label)  # a null stands for the row itself
+    counted = tagged.select("seed", "split", marked).groupBy("seed", "split", label).agg(F.count("*").alias("_k"))
+    sizes, counts = counted.where(F.col(label).isNull()).select("seed", "split", F.col("_k").alias("_n")), counted.where(F.col(label).isNotNull())
     overall = own.select(F.explode("_labels").alias(label)).groupBy(label).agg(F.count("*").alias("_all")).crossJoin(F.broadcast(own.agg(F.count("*").alias("_groups"))))  # one row
     grid = overall.crossJoin(F.broadcast(sizes)).join(counts, ["seed", "split", label], "left")  # three rows per candidate
     gap = F.abs(F.coalesce("_k", F.lit(0)) / F.col("_n") - F.col("_all") / F.col("_groups"))
     return grid.groupBy("seed").agg(F.avg(gap).alias("deviation"))
 
 
+def candidate_deviations(links: DataFrame, assignment: DataFrame, group: str, label: str) -> DataFrame:
+    """(seed, deviation): mean over splits and labels of |share of the label in the split - share overall|.
+
+    links has a row per group and label. Labels travel with their group, so the counts are partial sums of one pass.
+    """
+    own = _with_labels(links, group, label)
+    return _deviations(assignment.join(own, group), own, label)
+
+
 def best_split(links: DataFrame, group: str, label: str, **parameters) -> DataFrame:
-    """(group, split, seed) of the candidate whose labels deviate least, the smallest seed on ties."""
-    assignment = split_candidates(links.select(group).distinct(), group, **parameters)
-    best = candidate_deviations(links, assignment, group, label).orderBy(F.round("deviation", 12), "seed").limit(1).select("seed")
-    return assignment.join(F.broadcast(best), "seed").select(group, "split", "seed")  # one row
+    """(group, split, seed) of the candidate whose labels deviate least, the smallest seed on ties.
+
+    Groups are split by the cuts of each candidate where they lie; only the best candidate's split leaves.
+    """
+    own = _with_labels(links, group, label)
+    bounds = candidate_bounds(own, group, **parameters)
+    best = _deviations(splits_of(own, group, bounds), own, label).orderBy(F.round("deviation", 12), "seed").limit(1).select("seed")
+    return splits_of(own.select(group), group, bounds.join(F.broadcast(best), "seed")).select(group, "split", "seed")  # one row
 
 
 def sample_ids(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -494,3 +494,19 @@ def test_text_blocks_of_many_copies_make_a_row_each(spark, tmp_path, data):
     df = QUERIES["near_dup_text_block"](spark, str(tmp_path))
     total = df.agg(F.count("*").alias("n"), F.min("n_links").alias("least"), F.countDistinct("component_id").alias("groups")).first()
     assert total["n"] == 200 * spark.read.parquet(f"{data('sf0.001')}/part.parquet").count() and total["least"] >= 199
+
+
+def test_best_split_has_a_small_plan(spark):
+    links = spark.range(400).selectExpr("id as g", "cast(id % 7 as int) as l").unionByName(spark.createDataFrame([(None, 3), (1, None)], "g long, l int"))
+    best = P.best_split(links, "g", "l", candidates=5)
+    exchanges, inside = 0, None
+    for line in best._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is None or depth <= inside:  # not within a cached table
+            inside = depth if "InMemoryRelation" in line else None
+            exchanges += "Exchange " in line
+    assert exchanges < 60  # 137 when each candidate's splits were planned again wherever they are read
+    rows = {r["g"]: r["split"] for r in best.collect()}
+    assert len(rows) == 401 and rows[None] == "train"
+    assert sorted(list(rows.values()).count(s) for s in ("train", "validation", "test")) == [60, 61, 280]
+    assert P.best_split(links.limit(0), "g", "l").count() == 0
