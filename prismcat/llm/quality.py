@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 from sys import intern
 
@@ -113,6 +114,17 @@ def terms_of(text: str | None) -> Counter:
     return terms
 
 
+def model_cache(key: str) -> dict:
+    """What a worker keeps of words for the model with this key. Numbers of terms are of one model's vocabulary, so
+    another model, also a later fit for other tables in the same session, starts with nothing."""
+    cache = worker_cache("quality")
+    if cache.get("model") != key:
+        cache.clear()
+        give_back()
+        cache["model"] = key
+    return cache
+
+
 @dataclass
 class QualityModel:
     terms: dict[str, int]
@@ -121,6 +133,8 @@ class QualityModel:
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
+    #: The same in all copies of a model that workers get, another in each fit.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex, init=False)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, known term, weight before TF-IDF) in order of both: what terms_of says, for many texts at once."""
@@ -135,7 +149,7 @@ class QualityModel:
         slow[long] = True  # texts with long words go one by one
         keep = ~slow[owner]
         owner, at, sizes = owner[keep], at[keep], np.where(slow, 0, sizes)
-        cache = worker_cache("quality")
+        cache = model_cache(self.key)
         numbers, shapes, parts = cache.setdefault(1, {}), cache.setdefault(2, []), cache.setdefault(3, {})  # of each shape: its number, name; of each word: its known term, its shapes
         found = []
         for w in words:
@@ -256,7 +270,7 @@ def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
     model = QualityModel({t: i for i, t in enumerate(chosen)}, idf, np.zeros((len(chosen), 1)), np.zeros((0, 1)), np.zeros(0), prior)
     if not chosen:
         return model
-    worker_cache("driver")  # what it holds was made for another vocabulary
+    worker_cache("driver")  # gives back the terms of all words that the sample has
     parts = [(text + k, term, weight) for k in range(0, n, ROWS) for text, term, weight in [model.counts([t for t, _ in sample[k : k + ROWS]])]]
     row, term, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
@@ -282,13 +296,14 @@ def fit(sample: list[tuple[str, int]], *, axes: int = AXES) -> QualityModel:
 
 def score_with(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
     """docs with score and predicted, by any model that has score(texts); no shuffle."""
+    key = getattr(model, "key", "")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the model is made of
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality")  # gives back what the stage before has left, ahead of the model
+        model_cache(key)  # gives back what the stage before or another model has left, ahead of the model
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 scores = shared.value.score(batch.column("text").to_pylist())
